@@ -113,10 +113,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row its k-word shingles as hashes, in order; the whole sequence as one if it has fewer words; none without words."""
     mult = [np.uint64(x) for x in (mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)).tolist()]
-    n = len(words)
-    rolled = np.zeros(max(0, n - k + 1), np.uint64)
+    n = max(0, len(words) - k + 1)
+    rolled = np.zeros(n, np.uint64)
     for j in range(k):
-        rolled += words[j : n - k + 1 + j] * mult[j]
+        rolled += words[j : j + n] * mult[j]
     rolled = mix(rolled + np.uint64(k))
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
