@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,6 +58,19 @@ def discard(*tables: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row a key and in `count` how many of the `total` rows have it.
+
+    Keys with over a thousandth of the rows, a thousand at most, are broadcast; the others are shuffled. So no key is hot."""
+    limit = max(1000, total // 1000)
+    extra = [c for c in table.columns if c != key]
+    hot = table.where(F.col(count) > limit).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in extra))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    found = marked.where("hot_key IS NOT NULL").select(*rows.columns, *(F.col(f"hot_{c}").alias(c) for c in extra))
+    rest = marked.where("hot_key IS NULL").select(*rows.columns).join(table.where(F.col(count) <= limit), key, how)
+    return found.unionByName(rest.select(*rows.columns, *extra))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,7 +3,7 @@
 Edges are rewritten until they form stars whose centre is the smallest node: large-star links the larger
 neighbours of each node to its smallest neighbour, small-star its smaller ones. Both keep the components
 and halve the distance to the smallest node, so a few rounds do. Minima are combined before the shuffle;
-the join back to a node's edges is an ordinary equi-join, whose hot nodes adaptive execution splits.
+the few hot nodes are joined back to their edges by broadcast (join_counted), the others by an equi-join.
 Each round is written to the shared folder; only a count and a checksum reach the driver.
 """
 
@@ -12,19 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import discard, materialize
+from weirgate.llm.common import discard, join_counted, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+    return join_counted(both.where("v > u"), least, "u", "degree", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    moved = join_counted(down, least, "u", "degree", n).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,14 +32,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """node, component (its smallest node) of every node that has an edge to another; nulls and loops link nothing."""
     now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v")
     now = materialize(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = None
-    while True:
-        nxt = materialize(_small_star(_large_star(now)), "cc")
+    n, seen = now.count(), None
+    while n:
+        nxt = materialize(_small_star(_large_star(now, n), n), "cc")
         stamp = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 31) - 1)))).first())
         discard(now)
         now = nxt
-        if stamp == seen or not stamp[0]:
+        if stamp == seen:
             break
-        seen = stamp
+        n, seen = stamp[0], stamp
     # every node but the centres points to its centre
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

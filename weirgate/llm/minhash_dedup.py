@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import materialize, mix, shingle_hashes, text_chunks, word_bounds, word_hashes
+from weirgate.llm.common import join_counted, materialize, mix, shingle_hashes, text_chunks, word_bounds, word_hashes
 from weirgate.llm.components import components
 
 ROWS, BANDS = 6, 42
@@ -141,21 +141,20 @@ def _verify(k: int, percent: int):
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
-    spark = docs.sparkSession
     percent = round(100 * threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(texts.mapInArrow(_signed(k), "doc_id long, n_shingles long, digest binary, bands array<long>"), "minhash")
     classes = materialize(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "minhash-classes")
     banded = materialize(signed.select("doc_id", "digest", "bands").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("of")), "doc_id").where("digest = of").select("doc_id", F.explode("bands").alias("band")), "minhash-bands")
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other")).where("lead != other").drop("other")
-    stars = banded.join(shared, "band").where("doc_id != lead").select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"))
+    shared = banded.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("other"), F.count("*").alias("members")).where("lead != other").drop("other")
+    stars = join_counted(banded, shared, "band", "members", banded.count()).where("doc_id != lead").select(F.col("doc_id").alias("src"), F.col("lead").alias("dst"))
     families = materialize(components(stars).withColumnRenamed("component", "family"), "minhash-families")
     sizes = families.groupBy("family").agg(F.count("*").alias("members"))
     total = families.count()
     bins = max(1, total // BIN)
     # the blocks of a family: members are dealt by a hash of their id, each pair of blocks meets once
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = families.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = join_counted(families, sizes, "family", "members", total).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     with_text = texts.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
     meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_text.withColumn("meet", F.explode(meets)).withColumn(
@@ -163,8 +162,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     )
     links = dealt.select("task", "family", "block", "doc_id", "text").groupBy("task").applyInPandas(_verify(k, percent), "src long, dst long")
     found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("bands").join(named, F.col("digest") == F.col("of"), "left")
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "rows")
+    out = join_counted(signed.drop("bands"), named, "digest", "rows", signed.count(), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
