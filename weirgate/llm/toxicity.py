@@ -32,6 +32,7 @@ from weirgate.llm.common import materialize, mix, shingle_hashes, text_chunks, w
 FEATURES = 2048
 RATIO = 8  # how much likelier a feature must be in toxic documents
 PREFIXES = (3, 4, 5, 6, 7)  # letters of word beginnings
+CAUTION = 40  # toxic documents a feature must outnumber before it counts by itself
 MIN_TOXIC = 3  # toxic documents of the sample in which a feature must be
 LONGEST = 40  # characters of a token that is decoded
 READINGS = 50_000  # readings a worker remembers
@@ -290,7 +291,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_docs: int = 15_000, id_col: st
     order = np.argsort(-z, kind="stable")[:FEATURES]
     order = np.sort(order[z[order] > -np.inf])  # names stay sorted
     kept = name[order]
-    alone = (in_toxic[order] / (in_toxic[order] + 3 * in_rest[order] + 9)) ** 2  # a cautious share of toxic documents, squared
+    alone = (in_toxic[order] / (in_toxic[order] + 3 * in_rest[order] + CAUTION)) ** 2  # a cautious share of toxic documents, squared
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
