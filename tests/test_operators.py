@@ -126,3 +126,21 @@ def test_missing_url_column_is_refused(spark):
 def test_current_position_prefers_open_ends(spark):
     df = spark.sql("SELECT array(named_struct('title', 'a', 'end_date', '2020'), named_struct('title', 'b', 'end_date', '')) AS p, array() AS none")
     assert df.select(fill_plan.current_position(F.col("p"))["title"]).first()[0] == "b"
+
+
+def test_settings_fall_back_and_list_problems(tmp_path):
+    from weirgate.sources.settings import Settings
+
+    got = Settings.from_env({"WEIRGATE_THRESHOLD": "high", "WEIRGATE_LIMIT": "3", "WEIRGATE_VERBOSE": "Yes", "WEIRGATE_RESUME": str(tmp_path / "none")})
+    assert (got.threshold, got.limit, got.verbose) == (0.55, 3, True) and len(got.problems()) == 1
+    assert Settings(threshold=1.5).problems()
+
+
+def test_views_and_letters(spark, tmp_path):
+    from weirgate.plans import views
+    from weirgate.sources.letters import write_letters
+
+    views.register(spark, "/root/testdata/sf0.001", ["status_summary", "split_date"])
+    assert spark.sql("SELECT sum(n) FROM status_summary").first()[0] > 0
+    write_letters(spark.createDataFrame([("Data Dev!", "Dear")], "title string, letter string"), str(tmp_path / "l"))
+    assert [(r["slug"], r["value"]) for r in spark.read.text(str(tmp_path / "l")).select("slug", "value").collect()] == [("data-dev", "Dear")]
