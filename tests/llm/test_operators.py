@@ -319,6 +319,11 @@ def test_words_are_tokenized_as_by_the_tokenizer():
     stream, plain = packing.TokenStream(spec), Tokenizer.from_str(spec)
     for t in ("", "Don't STOP!!! it's 1234", "É é ß Œ naïve ſ", " x y", "Σίσυφος ΟΔΟΣ", "é Å", "a\x1cb\x85c", "日本 語", "İstanbul", "x" * 5000, "'s't 're 'LL", "a\nb\r\n\tc", "¿Qué? ¡Sí!", "Ǆ Ȿ Ⱥ"):
         assert stream.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    for c in map(chr, (*range(0x20, 0x7F), 9, 10, 13, *range(0xA0, 0x250), 0x3A3, 0x301, 0x2028)):
+        t = f"a{c}b {c}{c} '{c}1 {c}'s"
+        assert stream.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids, hex(ord(c))
+    stream.words.begin()  # words move to the new generation
+    assert stream.ids("a b don't").tolist() == plain.encode("a b don't", add_special_tokens=False).ids and len(stream.words) == 4
 
 
 def test_packing_levels_and_odd_rows(spark, odd, empty, monkeypatch):

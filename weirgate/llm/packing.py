@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,6 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +37,20 @@ GROUP = 2048  # pieces of a group of the first level
 FAN_IN = 16
 NEARLY_FULL = 0.995
 PASS_ON = 256
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000  # words of a generation of the cache
 
 _FIELDS = "group long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long, done boolean"
 
 #: Fixed value: the split pattern of the vocabulary file, as written there.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts in these characters are lower-cased and split here; others by the tokenizer itself.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
+#: Texts in these characters (no numbers but 0-9, no marks) are lower-cased and split here; others by the tokenizer itself.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00B1\u00B4-\u00B8\u00BA\u00BB\u00BF-\u017F]*")
+#: _SPLIT for them: the alternatives begin with different characters, so the commonest may come first.
+_WORDS = re.compile(r"[a-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sA-Za-z0-9\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
 
 
 class _Words(dict):
-    """Word -> number; the ids of numbered words lie in one array."""
+    """Word -> number; the ids of numbered words lie in one array. When it is full, the words in use move to a new generation."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -56,15 +58,20 @@ class _Words(dict):
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(keep)]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(rest)}  # bytes as the byte-level vocabulary spells them
-        self.clear()
+        self.old: dict[str, np.ndarray] = {}
+        self.begin()
 
-    def clear(self):
-        super().clear()
+    def begin(self):
+        """A new generation; the last one is kept beside it."""
+        self.old = {w: self.flat[self.starts[n] : self.starts[n] + self.lengths[n]] for w, n in self.items()}
+        self.clear()
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def __missing__(self, word: str) -> int:
-        ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
+        ids = self.old.get(word)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))]
         n = len(self)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
@@ -86,12 +93,12 @@ class TokenStream:
         self.tokenizer = Tokenizer.from_str(spec)
         self.by_words = _SPLIT.replace("\\", "\\\\") in spec and '"NFC"' in spec and '"Lowercase"' in spec and '"ByteLevel"' in spec
         self.words = _Words(self.tokenizer) if self.by_words else None
-        self.split = regex.compile(_SPLIT).findall
+        self.split = _WORDS.findall
 
     def ids(self, text: str) -> np.ndarray:
         if self.by_words and _PLAIN.fullmatch(text) and unicodedata.is_normalized("NFC", text) and "İ" not in text:
             if len(self.words) > CACHE_WORDS:
-                self.words.clear()
+                self.words.begin()
             found = self.split(text.lower())
             at = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
             lengths = self.words.lengths[at]
