@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     bins = max(1, total // BIN)
     # the blocks of a family: members are dealt by a hash of their id, each pair of blocks meets once
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    member = join_counted(families, sizes, "family", "members", total).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    member = families.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     with_text = texts.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
     meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_text.withColumn("meet", F.explode(meets)).withColumn(
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     )
     links = dealt.select("task", "family", "block", "doc_id", "text").groupBy("task").applyInPandas(_verify(k, percent), "src long, dst long")
     found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "rows")
-    out = join_counted(signed.drop("bands"), named, "digest", "rows", signed.count(), "left")
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    out = signed.drop("bands").join(named, "digest", "left")  # adaptive execution splits a hot digest
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
