@@ -385,6 +385,22 @@ def test_exact_repeats_of_documents_are_found(docs, texts):
     assert want <= found
 
 
+def test_passages_beside_denser_edits():
+    rng = np.random.default_rng(3)
+    shingles = lambda w: np.lib.stride_tricks.sliding_window_view(np.array(w, np.uint64), 5) @ np.array([1, 10**3, 10**6, 10**9, 10**12], np.uint64)
+    words = rng.permutation(900)[:300]
+    edited = words.copy()
+    at = [i for i in range(6, 300, 12) if not 100 <= i < 170] + [135]
+    edited[at] = 900 + np.arange(len(at))
+    (u, v, x, y), = substring_dedup.passages(shingles(words), shingles(edited))
+    assert u <= 100 and v >= 165 and x <= 100 and y >= 165
+    # parts of the passage occur before it too, and a second, more edited part follows a found one
+    one, two = words[:80], words[100:170]
+    other = np.concatenate([one[20:40], one, edited[170:250], two[:30], edited[:1], two[31:]])
+    found = substring_dedup.passages(shingles(np.concatenate([one, words[170:250], two])), shingles(other))
+    assert any(u <= 5 and v >= 70 for u, v, _, _ in found) and any(u <= 165 and v >= 220 for u, v, _, _ in found)
+
+
 # ---- urls
 
 def test_url_rules_and_aliases(spark):
