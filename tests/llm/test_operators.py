@@ -173,6 +173,28 @@ def test_obfuscation_is_read(docs):
     assert toxicity.restore("an m o r o n and tr@sh", chars) == "an moron and trash"
 
 
+def _found(texts, chars):
+    """For each text the words of which it has a feature that its plain words do not give."""
+    import pyarrow as pa
+
+    from weirgate.llm.common import text_chunks
+
+    def features(texts):
+        (_, _, data, offsets), = text_chunks(pa.array(texts))
+        row, f = toxicity._features(data, offsets, chars)
+        return [set(f[row == i].tolist()) for i in range(len(texts))]
+
+    plain = {w: features([w])[0] for w in ("stupid", "people", "trash", "moron")}
+    return [{w for w, x in plain.items() if x <= got} for got in features(texts)]
+
+
+def test_spaced_letters_at_the_border_of_documents(docs):
+    chars = toxicity.char_model(docs.select("text"))
+    alone = _found(["they are p e o p l e"], chars)
+    assert alone == [{"people"}]
+    assert _found(["they are p e o p l e", "I see", "- t r a s h"], chars) == [{"people"}, set(), {"trash"}]
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (7, 0), (6, 0), (None, 1), (8, None)], "doc_id long, toxic int")
     for model in (toxicity.fit(odd, labels), toxicity.fit(empty, labels.limit(0))):

@@ -152,11 +152,13 @@ def _features(data: np.ndarray, offsets: np.ndarray, chars: CharModel) -> tuple[
             if sum(c in _CODE for c in token) >= 2 and len(token) <= LONGEST:
                 rows.append(int(of[i]))
                 words.append(chars.read(token))
-        runs = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        for a, b in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
-            if 4 <= b - a <= LONGEST and of[a] == of[b - 1]:
+        alone = np.flatnonzero(single)
+        # runs end with their document
+        for run in np.split(alone, np.flatnonzero((np.diff(alone) > 1) | (np.diff(of[alone]) > 0)) + 1) if len(alone) else []:
+            if 4 <= len(run) <= LONGEST:
+                a, b = run[0], run[-1]
                 rows.append(int(of[a]))
-                words.append(chars.read(text[starts[a] : ends[b - 1]].decode("utf-8", "replace").lower().replace(" ", "")))
+                words.append(chars.read(text[starts[a] : ends[b]].decode("utf-8", "replace").lower().replace(" ", "")))
     extra = " ".join(words).encode()
     first_extra = len(text) + 1
     joined = (text + b"\n" + extra).decode("utf-8", "replace").lower()
