@@ -188,6 +188,14 @@ def _found(texts, chars):
     return [{w for w, x in plain.items() if x <= got} for got in features(texts)]
 
 
+def test_readings_of_any_length_and_sign(docs):
+    chars = toxicity.char_model(docs.select("text"))
+    many = " ".join("the people of the city and the people of the world")
+    got = _found(["pe" + "o" * 90 + "ple", f"x {many}", "tr^ash", "st·upid", "tr`a~sh"], chars)
+    assert got == [{"people"}, {"people"}, {"trash"}, {"stupid"}, {"trash"}]
+    assert "people" in toxicity.restore(f"so {many}", chars).split()
+
+
 def test_spaced_letters_at_the_border_of_documents(docs):
     chars = toxicity.char_model(docs.select("text"))
     alone = _found(["they are p e o p l e"], chars)

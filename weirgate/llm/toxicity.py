@@ -1,10 +1,10 @@
 """Toxicity scores of deobfuscated texts.
 
-Noisy channel: a token that mixes letters with digits or symbols, repeats a letter three times or more, or is
+Noisy channel: a token of any length that mixes letters with digits or symbols, repeats a letter three times or more, or is
 spelled in single spaced letters becomes a lattice: each character stands for itself, for the letters it is
 used for in leetspeak, or for nothing (separators, and repeats of the letter before). Viterbi finds the reading
-with the best product of channel and character language model, a trigram model counted over all texts. The
-words of the readings join the words of the text, and a logistic model over words and word beginnings scores
+with the best product of channel and character language model, a trigram model counted over all texts. Spaced
+letters are read as one word and with word breaks, within their document. The words of the readings join the words of the text, and a logistic model over words and word beginnings scores
 them; a feature found almost only in toxic documents also gives a score by itself, and the larger counts.
 
 The model is learned from a sample of at most about max_docs labelled documents (a hash of the id chooses them);
@@ -34,7 +34,7 @@ RATIO = 8  # how much likelier a feature must be in toxic documents
 PREFIXES = (3, 4, 5, 6, 7)  # letters of word beginnings
 CAUTION = 40  # toxic documents a feature must outnumber before it counts by itself
 MIN_TOXIC = 3  # toxic documents of the sample in which a feature must be
-LONGEST = 40  # characters of a token that is decoded
+LONGEST = 40  # characters of a token whose reading is remembered; longer ones are decoded each time
 READINGS = 50_000  # readings a worker remembers
 
 #: The alphabet of the character model: 0 is the edge of a word; a-z, then the lower-case letters of Latin-1.
@@ -45,10 +45,17 @@ _SIZE = 64
 #: Letters that a sign is used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 _DROPPED = set(".-_*~'`^·, ")
-KEEP, SWAP, DROP, REPEAT, STRAY = 0.0, -1.0, -0.5, -0.3, -8.0  # log-probabilities of the channel, up to a constant
+KEEP, SWAP, DROP, REPEAT, STRAY, BREAK = 0.0, -1.0, -0.5, -0.3, -8.0, -1.0  # log-probabilities of the channel, up to a constant
 
+_STRIPPED = ".,;:?\"'()[]{}<>#%&=/"
+_SIGNS = {c.encode() for c in {*LEET, *_DROPPED} - {" "}}
+_WIDE_SIGNS = sorted(c for c in _SIGNS if len(c) > 1)
 _SIGN = np.zeros(256, bool)
-_SIGN[[ord(c) for c in "0123456789@$!|+(*.-_"]] = True
+_SIGN[[c[0] for c in _SIGNS if len(c) == 1]] = True
+_AT_EDGE = np.zeros(256, bool)
+_AT_EDGE[[ord(c) for c in _STRIPPED]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC4), *range(0x80, 0xC0)]] = True
 
@@ -63,32 +70,45 @@ class CharModel:
     def __getstate__(self):
         return {"logp": self.logp, "readings": {}}
 
-    def read(self, token: str) -> str:
-        """The most likely plain reading of a token."""
-        got = self.readings.get(token)
+    def read(self, token: str, spaced: bool = False) -> str:
+        """The most likely plain reading of a token; of spaced letters, with spaces where words end."""
+        if len(token) > LONGEST:
+            return self._decode(token, spaced)
+        key = " " + token if spaced else token
+        got = self.readings.get(key)
         if got is None:
             if len(self.readings) > READINGS:
                 self.readings.clear()
-            got = self.readings[token] = self._decode(token)
+            got = self.readings[key] = self._decode(token, spaced)
         return got
 
-    def _decode(self, token: str) -> str:
-        states = {(0, 0): (0.0, "")}
+    def _decode(self, token: str, spaced: bool) -> str:
+        # a text is its last letter and the text before it
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         logp = self.logp
         for c in token:
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             choices = [(_CODE[c], c, KEEP)] if c in _CODE else [(_CODE[x], x, SWAP) for x in LEET.get(c, "")]
             for (a, b), (score, text) in states.items():
                 for code, letter, cost in choices:
                     s = score + cost + logp[a, b, code]
                     key = (b, code)
                     if key not in nxt or s > nxt[key][0]:
-                        nxt[key] = (s, text + letter)
-                drop = REPEAT if text and c == text[-1] else DROP if c in _DROPPED else None if c in _CODE else STRAY
+                        nxt[key] = (s, (letter, text))
+                drop = REPEAT if text and c == text[0] else DROP if c in _DROPPED else None if c in _CODE else STRAY
                 if drop is not None and (s := score + drop) > nxt.get((a, b), (-math.inf, ""))[0]:
                     nxt[(a, b)] = (s, text)
             states = nxt or states
-        return max(((s + logp[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+            if spaced:
+                ended = max(((s + BREAK + logp[a, b, 0], (" ", t)) for (a, b), (s, t) in states.items() if b), key=lambda x: x[0], default=None)
+                if ended and ended[0] > states.get((0, 0), (-math.inf, None))[0]:
+                    states[(0, 0)] = ended
+        text = max(((s + (logp[a, b, 0] if b or not spaced else 0.0), t) for (a, b), (s, t) in states.items()), key=lambda x: x[0], default=(0.0, None))[1]
+        out = []
+        while text:
+            out.append(text[0])
+            text = text[1]
+        return "".join(reversed(out)).strip()
 
 
 @dataclass
@@ -137,28 +157,45 @@ def _features(data: np.ndarray, offsets: np.ndarray, chars: CharModel) -> tuple[
     rows, words = [], []
     starts, ends, first = word_bounds(data, offsets)
     if len(starts):
-        letter, sign = _LETTER[data], _SIGN[data]
+        letter, sign, edge_sign = _LETTER[data], _SIGN[data], _AT_EDGE[data]
+        for c in _WIDE_SIGNS:
+            at = np.flatnonzero(np.logical_and.reduce([data[k : len(data) - len(c) + 1 + k] == x for k, x in enumerate(c)]))
+            for k in range(len(c)):
+                sign[at + k], letter[at + k] = True, False
         odd = np.zeros(len(data) + 1, np.int32)
-        odd[1:-1] += (sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:] & (data[1:] != ord(".")))
+        odd[1:] += sign & ~edge_sign
+        borders = offsets[1:-1, None]  # what spans two documents is no sign
+        beside = np.zeros(len(data), bool)
+        beside[:-1] = edge_sign[:-1] & ~edge_sign[1:] & ~_SPACE[data[1:]]
         low = np.where((data >= 65) & (data <= 90), data + 32, data)
-        odd[1:-2] += letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
-        marks = np.cumsum(odd)
+        beside[:-2] |= letter[:-2] & (low[:-2] == low[1:-1]) & (low[1:-1] == low[2:])
+        crossing = (borders - np.arange(1, 3)).ravel()
+        beside[crossing[crossing >= 0]] = False
+        wide = np.where((data >= 0x80) & (data < 0xC0), data | 0x20, 0).astype(np.uint16)[1:] * (data[:-1] == 0xC3)  # the second byte of a Latin letter
+        thrice = np.zeros(len(data), bool)
+        thrice[:-5] = (wide[:-4] > 0) & (wide[:-4] == wide[2:-2]) & (wide[:-4] == wide[4:])
+        crossing = (borders - np.arange(1, 6)).ravel()
+        thrice[crossing[crossing >= 0]] = False
+        odd[1:] += beside | thrice
+        marks, letters = np.cumsum(odd), np.concatenate([[0], np.cumsum(letter)])
         length = ends - starts
-        mark = (marks[ends - 1] - marks[starts] > 0) & (length <= 2 * LONGEST)
-        single = (length == 1) | (length == 2) & (data[starts] >= 0xC3)
+        mark = (marks[ends] - marks[starts] > 0) & (letters[ends] - letters[starts] >= 2)
+        single = (length == 1) | (length == 2) & (data[starts] >= 0xC2) | (length == 3) & (data[starts] == 0xE2)
         of = np.searchsorted(first, np.arange(len(starts)), "right") - 1
         for i in np.flatnonzero(mark).tolist():
-            token = text[starts[i] : ends[i]].decode("utf-8", "replace").lower().strip(".,;:?\"'()[]{}<>#%&=/")
-            if sum(c in _CODE for c in token) >= 2 and len(token) <= LONGEST:
+            token = text[starts[i] : ends[i]].decode("utf-8", "replace").lower().strip(_STRIPPED)
+            if sum(c in _CODE for c in token) >= 2:
                 rows.append(int(of[i]))
                 words.append(chars.read(token))
         alone = np.flatnonzero(single)
         # runs end with their document
         for run in np.split(alone, np.flatnonzero((np.diff(alone) > 1) | (np.diff(of[alone]) > 0)) + 1) if len(alone) else []:
-            if 4 <= len(run) <= LONGEST:
+            if len(run) >= 4:
                 a, b = run[0], run[-1]
-                rows.append(int(of[a]))
-                words.append(chars.read(text[starts[a] : ends[b]].decode("utf-8", "replace").lower().replace(" ", "")))
+                letters_of = "".join(text[starts[a] : ends[b]].decode("utf-8", "replace").lower().split())
+                for reading in {chars.read(letters_of), chars.read(letters_of, spaced=True)}:
+                    rows.append(int(of[a]))
+                    words.append(reading)
     extra = " ".join(words).encode()
     first_extra = len(text) + 1
     joined = (text + b"\n" + extra).decode("utf-8", "replace").lower()
@@ -336,7 +373,7 @@ def restore(text: str, chars: CharModel) -> str:
 
     def flush():
         if len(single) >= 4:
-            out.append(chars.read("".join(single)))
+            out.append(chars.read("".join(single), spaced=True))
         else:
             out.extend(single)
         single.clear()
@@ -347,6 +384,6 @@ def restore(text: str, chars: CharModel) -> str:
             continue
         flush()
         odd = any(c in LEET or c in _DROPPED for c in token[:-1]) or any(a == b == c for a, b, c in zip(token, token[1:], token[2:], strict=False))
-        out.append(chars.read(token) if odd and len(token) <= LONGEST and sum(c in _CODE for c in token) >= 2 else token)
+        out.append(chars.read(token) if odd and sum(c in _CODE for c in token) >= 2 else token)
     flush()
     return " ".join(out)
