@@ -451,3 +451,9 @@ def test_url_rules_and_aliases(spark):
     url_filter.LITERAL_RULES = 500
     none = spark.createDataFrame([], "page_id long, url string, html string, host string")
     assert url_filter.judge_urls(none, queries.URL_RULES).count() == 0
+
+
+def test_relative_links_and_either_order_of_refresh(spark):
+    rows = [("http://a.com/x/y.html", '<link rel="canonical" href="page.html">'), ("http://a.com/x/y", '<meta content="0;url=../z?q=1" http-equiv=refresh>'), ("http://a.com", '<meta http-equiv="refresh" content="0; url=z">'), ("http://a.com/", '<link rel=canonical href="mailto:x">')]
+    got = spark.createDataFrame(rows, "url string, html string").select(url_filter.link_targets(F.col("url"), F.col("html")).alias("t")).collect()
+    assert [r["t"] for r in got] == [["http://a.com/x/page.html"], ["http://a.com/z?q=1"], ["http://a.com/z"], []]

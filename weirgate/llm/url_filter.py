@@ -60,17 +60,27 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+def _resolved(link: Column, path: Column) -> Column:
+    """A link from the directory of a path, without . and .. steps."""
+    own = F.regexp_extract(link, r"^([^?#]*)", 1)
+    steps = F.split(F.concat(F.regexp_extract(path, r"^(.*/)", 1), own), "/")
+    up = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(x.isin(".", ""), done).otherwise(F.concat(done, F.array(x)))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), up)
+    return F.concat(F.lit("/"), F.array_join(walked, "/"), F.regexp_extract(link, r"^[^?#]*(.*)$", 1))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """A link as a url; relative ones only if they begin with a slash."""
+    """A link as a url; one without a leading slash is read from the page's directory, with . and .. resolved."""
     scheme = F.regexp_extract(url, r"^([^/?#]*:)//", 1)
-    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(scheme, F.lit("//"), host_of(url), link))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(scheme, F.lit("//"), host_of(url), link)).when((link != "") & ~link.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|[?#])") & (host_of(url) != ""), F.concat(scheme, F.lit("//"), host_of(url), _resolved(link, path_of(url))))
 
 
 def link_targets(url: Column, html: Column) -> Column:
     """Urls that a page names as its canonical form or redirects to."""
     tag = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
     canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*['"]?([^"'\s>]+)""", 1)
+    meta = F.regexp_extract(html, r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=[^>]*>""", 0)
+    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*['"]?([^"'\s>]+)""", 1)
     found = F.filter(F.array(_absolute(canonical, url), _absolute(refresh, url)), lambda x: x.isNotNull() & (x != ""))
     return F.when(html.rlike("(?i)canonical|refresh"), found).otherwise(F.array().cast("array<string>"))
 
