@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirgate.llm import exact_dedup, langid, licenses, minhash_dedup, mixing, packing, quality, queries, substring_dedup, toxicity, url_filter
+from weirgate.llm.common import mix
 from weirgate.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -379,12 +381,24 @@ def test_sequences_hold_the_ids(spark):
 
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(1)
-    values = rng.permutation(60).astype(np.uint64)
-    windows = substring_dedup.compact_windows(values, 10)
-    for a in range(60):
-        for b in range(a + 10, 61):
-            c = a + int(values[a:b].argmin())
-            assert sum(x <= a and y >= b - 1 and z == c for x, z, y in windows) == 1
+    least = substring_dedup.LEAST
+    s = rng.integers(0, 2**63, 300).astype(np.uint64)
+    s[200:220] = s[100:120]
+    border = 170  # two texts
+    whole = np.array([i + least <= border or i >= border for i in range(300 - least + 1)])
+    value, centre, first, last = substring_dedup.compact_windows(s, whole, np.uint64(7))
+    full = mix(s ^ np.uint64(7))
+    assert (value == full[centre]).all()
+    nodes = list(zip(first.tolist(), centre.tolist(), last.tolist(), strict=True))
+    for a in np.flatnonzero(whole).tolist():
+        c = a + int(full[a : a + least].argmin())
+        assert sum(x <= a and y >= a + least - 1 and z == c for x, z, y in nodes) == 1
+    for lo, hi in ((0, border), (border, 300)):  # a centre is a node of the tree: it spans LEAST places between smaller values
+        for c in range(lo, hi):
+            left = next((i for i in range(c - 1, lo - 1, -1) if full[i] <= full[c]), lo - 1)
+            right = next((i for i in range(c + 1, hi) if full[i] < full[c]), hi)
+            assert (right - left - 1 >= least) == (c in centre)
+    assert all(y < border or x >= border for x, _, y in nodes)
 
 
 def test_shared_passages(spark, odd, empty):
@@ -404,15 +418,87 @@ def test_shared_passages(spark, odd, empty):
     assert substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).count() >= 28
 
 
-def test_exact_repeats_of_documents_are_found(docs, texts):
+def exact_links(texts):
+    """Pairs of documents that share 50 words in a row, as links of each run's documents to the first of them."""
     runs = collections.defaultdict(set)
     for i, t in texts.items():
         w = t.translate(LOWER).split()
         for j in range(len(w) - 49):
-            runs[tuple(w[j : j + 50])].add(i)
-    want = {i for v in runs.values() if len(v) > 1 for i in v}
-    found = {i for r in substring_dedup.shared_passages(docs).collect() for i in (r["doc_id"], r["other_id"])}
-    assert want <= found
+            runs[hash(tuple(w[j : j + 50]))].add(i)
+    return {(max(p), min(p)) for v in runs.values() if len(v) > 1 for p in itertools.combinations(v, 2)}
+
+
+def unconnected(links, found):
+    top = smallest_reachable({i for p in (*links, *found) for i in p}, found)
+    return [p for p in links if top[p[0]] != top[p[1]]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_no_exact_link_is_lost(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    links = exact_links({r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()})
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(docs).collect()}
+    assert len(links) >= 10 and not unconnected(links, found)
+
+
+def test_near_passages_are_brute_force(spark, docs, texts):
+    """All pairs of documents, searched whole, against the operator: all its links hold, and no link is lost."""
+    def sequence(t):
+        w = t.translate(LOWER).split()
+        return np.array([zlib.crc32(" ".join(w[i : i + 5]).encode()) for i in range(len(w) - 4)], np.uint32)
+
+    seqs = {i: s for i, t in texts.items() if len(s := sequence(t)) >= substring_dedup.LEAST}
+    sets = {i: set(s.tolist()) for i, s in seqs.items()}
+    links = {(a, b) for b, a in itertools.combinations(sorted(seqs), 2) if len(sets[a] & sets[b]) > 8 and substring_dedup.passages(seqs[a], seqs[b])}
+    got = substring_dedup.shared_passages(docs).collect()
+    found = {(r["doc_id"], r["other_id"]) for r in got}
+    assert len(links) >= 10 and not unconnected(links, found)
+    for r in got:
+        a, b = (set(sequence(texts[r[i]])[r[x] : r[y] - 4].tolist()) for i, x, y in (("doc_id", "from_word", "to_word"), ("other_id", "other_from_word", "other_to_word")))
+        assert 100 * len(a & b) >= 80 * len(a | b) and min(r["to_word"] - r["from_word"], r["other_to_word"] - r["other_from_word"]) >= 50
+
+
+def test_a_document_between_hides_no_link(spark):
+    """Documents 1 and 3 share 60 words; 2 lies between them, or before or after them, with 48 of these."""
+    rng = np.random.default_rng(5)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]
+    rows, links = [], set()
+    for i in range(150):
+        shared = text(60)
+        low, high, thief = [(1, 3, 2), (2, 3, 1), (1, 2, 3)][i % 3]
+        for k, part in ((low, shared), (high, shared), (thief, shared[6:54])):
+            rows.append((10 * i + k, " ".join(text(100) + part + text(100))))
+        links.add((10 * i + high, 10 * i + low))
+    got = {(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == links
+
+
+def test_differently_edited_copies_are_linked_by_their_base(spark):
+    rng = np.random.default_rng(6)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]
+    base, rows = text(60), []
+    for i in range(120):
+        part = list(base)
+        if i != 77:  # one word each; two copies differ by more than 20 %
+            part[5 + i % 50] = f"edit{i}"
+        rows.append((i, " ".join(text(80) + part + text(80))))
+    got = [(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set(smallest_reachable(range(120), got).values()) == {0}
+
+
+def test_large_families_are_dealt_to_blocks(spark, monkeypatch):
+    """The families of one task and those over pairs of blocks give the same classes; copies hang on the smallest id."""
+    rng = np.random.default_rng(8)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]
+    common = text(64)
+    rows = [(i, " ".join(text(30) + common + text(30 + i % 5))) for i in range(200)]
+    rows += [(300 + i, rows[i % 7][1].upper()) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (200_000, 4_000):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        got = [(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(df).collect()]
+        assert set(smallest_reachable([i for i, _ in rows], got).values()) == {0}
+        assert {p for p in got if p[0] >= 300} == {(300 + i, i % 7) for i in range(100)}
 
 
 def test_passages_beside_denser_edits():

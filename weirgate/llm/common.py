@@ -124,14 +124,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 
-def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row its k-word shingles as hashes, in order; the whole sequence as one if it has fewer words; none without words."""
-    mult = [np.uint64(x) for x in (mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)).tolist()]
+def _multipliers(k: int) -> list[np.uint64]:
+    return [np.uint64(x) for x in (mix(np.arange(1, k + 1, dtype=np.uint64) * _BASE) | np.uint64(1)).tolist()]
+
+
+def rolled_shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """The k-word shingles that begin at each word, as hashes, across the borders of rows too."""
     n = max(0, len(words) - k + 1)
     rolled = np.zeros(n, np.uint64)
-    for j in range(k):
-        rolled += words[j : j + n] * mult[j]
-    rolled = mix(rolled + np.uint64(k))
+    for j, m in enumerate(_multipliers(k)):
+        rolled += words[j : j + n] * m
+    return mix(rolled + np.uint64(k))
+
+
+def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row its k-word shingles as hashes, in order; the whole sequence as one if it has fewer words; none without words."""
+    mult, rolled = _multipliers(k), rolled_shingles(words, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
