@@ -26,9 +26,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and all runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that the whole cluster shares in spark.checkpoint.dir")
         root = tempfile.mkdtemp(prefix="weirgate-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -50,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def fresh_name(what: str) -> str:
+    """A column name that no table of a caller has."""
+    return f"{what}_{uuid.uuid4().hex}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove scratch tables that nothing reads any more."""
     for df in tables:

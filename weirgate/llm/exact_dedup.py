@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", carry: Sequence[str] =
     order = [F.col("head"), F.col("sha"), by_id]
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
     fields = "doc_id long, sha binary, first boolean, local_keep long, local_size long, edge int, pid int"
-    schema = T.StructType([*T.StructType.fromDDL(fields).fields, *(rows.schema[n] for n in names)])
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, *(T.StructField(n, rows.schema[n].dataType) for n in names)])  # null in dropped rows
     runs = materialize(dealt.mapInArrow(_runs(names), schema), "exact-runs")
     edges = runs.where("edge > 0 AND first").groupBy("sha").agg(F.sum("local_size").alias("all_size"), F.min_by("local_keep", "pid").alias("all_keep"), F.min("pid").alias("first_pid"))
     # at most two runs a partition touch an edge, so this table is bounded by the number of partitions

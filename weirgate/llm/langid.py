@@ -11,7 +11,7 @@ pass over the texts without a shuffle.
 
 Edge cases: a text that is null or has no letters is `und` with score 0. Languages that are null teach
 nothing; without any labelled text everything is `und`. Very long texts are labelled whole, in time linear in
-their words. Repeated rows are judged alike. An empty table gives an empty result. Other columns are ignored.
+their words, in memory of one score a word and language. Repeated rows are judged alike. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 15
 SWITCH = 6.0  # log-probability a change of language costs
 SCRIPT_SHARE = 0.001  # a language uses a script that has this share of its letters
-CHUNK = 1 << 20
+CHUNK = 1 << 24  # letters times languages of the texts that are labelled together; a longer text is labelled alone
 
 #: First and last code points of scripts.
 SCRIPTS = {
@@ -131,11 +131,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
     lengths = np.diff(first)
     order = np.argsort(-lengths, kind="stable")
     base, lengths = first[:-1][order], lengths[order]
-    labels = np.zeros(len(scores), np.uint8)
+    kind = np.min_scalar_type(max(0, scores.shape[1] - 1))  # wide enough for the number of languages
+    labels = np.zeros(len(scores), kind)
     if not len(scores):
         return labels
-    came = np.empty(scores.shape, np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)[None, :]
+    came = np.empty(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)[None, :]
     now = np.zeros((len(order), scores.shape[1]), np.float32)
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(int(lengths[0])), "right")
     for t, k in enumerate(active.tolist()):
@@ -143,7 +144,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> n
         best = v.argmax(axis=1)
         top = v[np.arange(k), best][:, None]
         switched = v < top - penalty
-        came[at] = np.where(switched, best[:, None].astype(np.uint8), own)
+        came[at] = np.where(switched, best[:, None].astype(kind), own)
         v[:] = np.where(switched, top - penalty, v) - top + scores[at]
     state = now.argmax(axis=1)
     for t in range(int(lengths[0]) - 1, -1, -1):
@@ -163,27 +164,29 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False, id_col: str
         for batch in batches:
             texts = batch.column(1)
             n = len(texts)
-            scores, sizes, firsts, total, lo = [], [], [np.zeros(1, np.int64)], 0, 0
-            while lo < n:  # texts are read in chunks; only the words' scores stay
+            found_labels, sizes, firsts, total, lo = [], [], [np.zeros(1, np.int64)], 0, 0
+            while lo < n:  # texts are read and labelled in chunks; only a label a word stays
                 hi, size, part = lo, 0, []
-                while hi < n and (hi == lo or size < CHUNK):
+                while hi < n and (hi == lo or size * max(4, len(m.languages)) < CHUNK):
                     part.append(texts[hi].as_py() or "")
                     size += len(part[-1])
                     hi += 1
                 got = letters(part)
+                labels = np.zeros(len(got.starts), np.uint8)
                 if len(got.starts) and m.languages:
                     word = np.add.reduceat(m.scores[got.buckets], got.starts, axis=0)
                     may = m.uses[got.script[got.starts]]
                     may = may | ~may.any(axis=1, keepdims=True)  # a script no language uses narrows nothing
                     word[~may] -= np.float32(1e4)
-                    scores.append(word)
+                    labels = viterbi(word, got.first)
+                found_labels.append(labels)
                 sizes.append(np.diff(np.append(got.starts, len(got.buckets))))
                 firsts.append(got.first[1:] + total)
                 total += len(got.starts)
                 lo = hi
             first, size = np.concatenate(firsts), np.concatenate(sizes) if sizes else np.empty(0, np.int64)
             known = len(m.languages)
-            labels = viterbi(np.concatenate(scores), first) if scores else np.zeros(total, np.uint8)
+            labels = np.concatenate(found_labels) if found_labels else np.zeros(0, np.uint8)
             of = np.repeat(np.arange(n), np.diff(first))
             share = np.bincount(of * max(1, known) + labels, weights=size, minlength=n * max(1, known)).reshape(n, -1)
             best, letters_in = share.argmax(axis=1), share.sum(axis=1)

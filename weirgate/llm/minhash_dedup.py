@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import join_counted, materialize, mix, shingle_hashes, text_chunks, word_bounds, word_hashes
+from weirgate.llm.common import fresh_name, join_counted, materialize, mix, shingle_hashes, text_chunks, word_bounds, word_hashes
 from weirgate.llm.components import components
 
 ROWS, BANDS = 6, 42
@@ -155,19 +155,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     # the blocks of a family: members are dealt by a hash of their id, each pair of blocks meets once
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     member = families.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_text = texts.join(member.hint("shuffle_hash"), F.col("doc_id") == F.col("node"))
+    with_text = texts.join(member, F.col("doc_id") == F.col("node"))
     meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_text.withColumn("meet", F.explode(meets)).withColumn(
         "task", F.when(F.col("blocks") == 1, F.concat(F.lit("bin"), F.pmod(F.xxhash64("family"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("family"), F.least("block", "meet"), F.greatest("block", "meet")))
     )
     links = dealt.select("task", "family", "block", "doc_id", "text").groupBy("task").applyInPandas(_verify(k, percent), "src long, dst long")
     found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("bands").join(named, "digest", "left")  # adaptive execution splits a hot digest
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rows", F.coalesce("component", "rep").alias("component"))
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    # texts without words have no digest and no class; a digest of very many copies is joined by a broadcast
+    out = join_counted(rows.where("digest IS NOT NULL"), named, "digest", "rows", signed.count(), "left")
+    out = out.unionByName(rows.where("digest IS NULL").withColumns({"rows": F.lit(None).cast("long"), "component": F.lit(None).cast("long")}))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one document of each component, with all columns."""
-    kept = near_duplicates(docs, k, threshold, id_col, text_col).where("kept").select(F.col("doc_id").alias("near_doc_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("near_doc_id")), "left_semi")
+    name = fresh_name("id")
+    kept = near_duplicates(docs, k, threshold, id_col, text_col).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import WORD, materialize, mix
+from weirgate.llm.common import WORD, fresh_name, materialize, mix
 
 GROUP = 1024  # documents of a group of the first level
 FAN_IN = 32  # groups whose residuals meet at the next level
@@ -140,6 +140,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: f
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs as the mix takes them: left out, once, or repeated; all columns of docs."""
     id_col = params.get("id_col", "doc_id")
-    taken = mix_sources(docs, **params).where("taken > 0").groupBy(F.col("doc_id").alias("mix_doc_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("mix_copies"))
-    rows = docs.join(taken, F.col(id_col).cast("long") == F.col("mix_doc_id"))
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[docs[c] for c in docs.columns])
+    key, copies, copy = map(fresh_name, ("id", "copies", "copy"))
+    times = F.max((F.col("taken") / F.col("size")).cast("int")).alias(copies)
+    taken = mix_sources(docs, **params).where("taken > 0").groupBy(F.col("doc_id").alias(key)).agg(times)
+    rows = docs.join(taken, F.col(id_col).cast("long") == F.col(key))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[docs[c] for c in docs.columns])

@@ -3,8 +3,11 @@
 Documents are tokenized, ended by one id, and only those longer than a sequence are cut. The pieces are
 dealt to groups by a hash of their id; each group packs its pieces best-fit in falling order of length
 and emits nearly full bins. Its underfull bins are items of the next level, where the groups of one branch
-of a tree are packed again, until one group is left. A level passes on the emptiest PASS_ON bins of a group
-at most and emits its other bins as they are, so no task grows with the input; nothing is dropped.
+of a tree are packed again, until one group is left. No task grows with the input, and no sequence is lost by that:
+best-fit leaves one bin of a group at most that is not over half full, and two bins only fit together if one of them
+is not. So on each level above, a group meets FAN_IN such bins at most, and each of them spares one sequence by going
+into one other bin. A group therefore passes on its FAN_IN emptiest bins for each of the LEVELS levels a tree can
+have; the others could not spare a sequence, and are emitted as they are.
 
 Only lengths travel: token ids stay with the pieces, which a caller joins to their places. Sequence numbers
 follow from the ids and lengths alone, so recomputed tasks agree.
@@ -36,7 +39,8 @@ from weirgate.llm.common import materialize
 GROUP = 2048  # pieces of a group of the first level
 FAN_IN = 16
 NEARLY_FULL = 0.995
-PASS_ON = 256
+LEVELS = 16  # 2048 * 16^16 pieces, beyond any input
+PASS_ON = FAN_IN * LEVELS
 CACHE_WORDS = 350_000  # words of a generation of the cache
 
 _FIELDS = "group long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long, fill long, done boolean"

@@ -14,12 +14,13 @@ columns of the input are returned only by filter_quality, whose result has exact
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirgate.llm.common import WORD
+from weirgate.llm.common import WORD, fresh_name
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -54,14 +55,14 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _repeat_words() -> Column:
-    """Words of the column quality_words that lie in a 3-word window found twice or more in it."""
-    words = F.col("quality_words")
+def _repeat_words(column: str) -> Column:
+    """Words of a column of words that lie in a 3-word window found twice or more in it."""
+    words = F.col(column)
     n = F.size(words)
 
     def covered(s: Column) -> Column:
         # equal windows are adjacent in the sorted array; both neighbours of a repeated window are kept
-        same = lambda a, b: (a["quality_words"] == b["quality_words"]) & (a["1"] == b["1"]) & (a["2"] == b["2"])
+        same = lambda a, b: (a[column] == b[column]) & (a["1"] == b["1"]) & (a["2"] == b["2"])
         again = F.filter(s, lambda x, i: F.coalesce(same(x, F.get(s, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
         return _let(F.sort_array(F.transform(again, lambda x: x["3"])), lambda at: F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")), lambda acc: acc["n"]))
 
@@ -69,31 +70,31 @@ def _repeat_words() -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(_let(F.sort_array(windows), covered))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a struct `quality_ledger`: the measurements and `failures`, the bits of all rules."""
+def measure(docs: DataFrame, text_col: str = "text", name: str = "quality_ledger") -> DataFrame:
+    """docs with a struct of that name: the measurements and `failures`, the bits of all rules."""
+    word_col = fresh_name("words")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("quality_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    words = F.col("quality_words")
+    step = docs.withColumn(word_col, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    words = F.col(word_col)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     n_lines, distinct = F.size(lines).cast("long"), F.size(F.array_distinct(lines)).cast("long")
     measured = step.withColumn(
-        "quality_ledger",
+        name,
         F.struct(
             F.size(words).cast("long").alias("n_words"),
             F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             (n_lines - distinct).alias("n_dup_lines"),
-            _repeat_words().cast("long").alias("n_repeat_words"),
+            _repeat_words(word_col).cast("long").alias("n_repeat_words"),
             n_lines.alias("n_lines"),
         ),
-    ).drop("quality_words")
+    ).drop(word_col)
     bits = None
     for bit, rule in enumerate(RULES.values()):
-        for m in (*MEASURES, "n_lines"):
-            rule = rule.replace(m, f"quality_ledger.{m}") if m != "n_words" else rule.replace("n_words", "quality_ledger.n_words")
-        one = F.when(F.expr(rule), F.lit(1 << bit)).otherwise(F.lit(0))
+        names = "|".join((*MEASURES, "n_lines"))
+        one = F.when(F.expr(re.sub(rf"\b({names})\b", rf"{name}.\1", rule)), F.lit(1 << bit)).otherwise(F.lit(0))
         bits = one if bits is None else bits.bitwiseOR(one)
-    return measured.withColumn("quality_ledger", F.struct("quality_ledger.*", bits.cast("long").alias("failures")))
+    return measured.withColumn(name, F.struct(f"{name}.*", bits.cast("long").alias("failures")))
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,5 +121,9 @@ def ablations(entries: DataFrame, policies: tuple[Policy, ...] = (BASE, STANDARD
 
 
 def filter_quality(docs: DataFrame, policy: Policy = STANDARD, text_col: str = "text") -> DataFrame:
-    """The rows of docs that pass the policy, with all their columns."""
-    return measure(docs, text_col).where(~fails(policy, F.col("quality_ledger.failures"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that pass the policy, with all their columns.
+
+    The ledger goes through a generator, below which no filter is pushed, so each rule is evaluated once."""
+    name, once = fresh_name("ledger"), fresh_name("entry")
+    entries = measure(docs, text_col, name).withColumn(once, F.explode(F.array(F.col(f"{name}.failures"))))
+    return entries.where(~fails(policy, F.col(once))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -118,4 +118,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     decided = own.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")).groupBy("component").agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
     spread = linked.select("node", "component").unionAll(own.select("node", F.col("node").alias("component")).join(linked.select("node"), "node", "left_anti"))
     of_node = spread.join(decided, "component", "left").select("node", "component", F.when(F.col("allow"), F.lit("allow")).when(F.col("block"), F.lit("block")).alias("alias_verdict"))
-    return judged.join(of_node, "node", "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "alias_verdict", F.lit("allow")).alias("verdict"), "component")
+    # pages without a host have no node and no alias: they need no join
+    bare = judged.where("node IS NULL").withColumns({"component": F.lit(None).cast("string"), "alias_verdict": F.lit(None).cast("string")})
+    known = judged.where("node IS NOT NULL").join(of_node, "node", "left").unionByName(bare)
+    verdict = F.coalesce("fit.verdict", "alias_verdict", F.lit("allow")).alias("verdict")
+    return known.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict, "component")
