@@ -101,11 +101,11 @@ def test_scan_reads_labels_groups_and_options(spark):
 
 
 def test_resume_layouts(spark):
-    text = "Chief Officer—The Lab\nAustin, Texas | Full-time | Nov 2025 - Present\nLed things\nManTech, San Antonio, Texas   Jul 2021 to May 2022\nTier 3 IT Support\nFixed it"
+    text = "Head Analyst—Fern Works\nBoise, Idaho | Contract | Mar 2022 - Now\nSet the plans\nQuarry Ltd, Salem, Oregon   Feb 2019 to Oct 2020\nSecond Line Operator\nRan the desk"
     lines = spark.createDataFrame([("r", i, x) for i, x in enumerate(text.split("\n"))], "id string, pos int, line string")
     a, b = resume.positions(lines, "id").orderBy("row").collect()
-    assert (a["title"], a["company"], a["location"], a["end_date"]) == ("Chief Officer", "The Lab", "Austin, Texas", "Present")
-    assert (b["title"], b["company"], b["location"], b["description"]) == ("Tier 3 IT Support", "ManTech", "San Antonio, Texas", "Fixed it")
+    assert (a["title"], a["company"], a["location"], a["end_date"]) == ("Head Analyst", "Fern Works", "Boise, Idaho", "Present")
+    assert (b["title"], b["company"], b["location"], b["description"]) == ("Second Line Operator", "Quarry Ltd", "Salem, Oregon", "Ran the desk")
 
 
 def test_options_and_agreement(spark):
@@ -144,3 +144,38 @@ def test_views_and_letters(spark, tmp_path):
     assert spark.sql("SELECT sum(n) FROM status_summary").first()[0] > 0
     write_letters(spark.createDataFrame([("Data Dev!", "Dear")], "title string, letter string"), str(tmp_path / "l"))
     assert [(r["slug"], r["value"]) for r in spark.read.text(str(tmp_path / "l")).select("slug", "value").collect()] == [("data-dev", "Dear")]
+
+
+def test_every_html_reference_is_read_once(spark):
+    text = "<b>Caf&eacute; &#8217;s &#x1F600; &amp;lt; &copy 2 &notaname; R&D &#0; &amp;amp;</b>"
+    assert one(spark, T.strip_html(F.col("s")), s=text) == " Caf\u00e9 \u2019s \U0001f600 &lt; \u00a9 2 &notaname; R&D \ufffd &amp; "
+
+
+def test_meta_and_headings_of_saved_postings(spark):
+    html = """<title>T</title><meta content='long &amp; quoted' property='og:description'><meta name=description content="short"><h2> Data <b>Dev</b></h2><p>x</p>"""
+    got = one(spark, sources.html_posting(F.col("s")), s=html)
+    assert (got["title"], got["meta"]) == ("Data Dev", "long & quoted")
+
+
+def test_a_place_takes_no_other_places_code(spark):
+    got = one(spark, resume.contact(F.col("s")), s="Austin, TX then Dallas, TX 75201")
+    assert (got["city"], got["state"], got["postal_code"]) == ("Austin", "TX", "")
+    assert one(spark, resume.infer_country(F.col("s")), s="mp") == "United States"
+
+
+def test_list_items_are_trimmed_whatever_their_place(spark):
+    assert one(spark, matching.accept_kind(F.col("s")), s="x, .pdf ") == "document"
+
+
+def test_frames_are_scanned_and_a_stray_percent_stays(spark):
+    pages = spark.createDataFrame([("/s/a.html", "<input name=a><iframe src='50%.html'></iframe>"), ("/s/50%.html", "<input name=b>")], "path string, html string")
+    found = forms.scan_with_frames(pages, pages.where("path = '/s/a.html'"))
+    assert [(r["frame_path"], r["field_idx"], r["name"]) for r in found.orderBy("field_idx").collect()] == [([], 0, "a"), ([0], 1, "b")]
+    assert forms.contexts(found).first()["contexts"] == 2
+
+
+def test_degrees_and_majors(spark):
+    rows = [("r", 0, "Master of Science in Computer Science"), ("r", 1, "State University, 2017"), ("r", 2, "B.S. in Art and Design, expected 2027")]
+    a, b = resume.education(spark.createDataFrame(rows, "id string, pos int, line string"), "id").orderBy("row").collect()
+    assert (a["degree"], a["major"], a["school"], a["graduation_year"]) == ("Master of Science", "Computer Science", "State University", "2017")
+    assert (b["degree"], b["major"], b["in_progress"]) == ("B.S", "Art and Design", True)

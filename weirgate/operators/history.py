@@ -48,11 +48,32 @@ def status_counts(matches: DataFrame, by: Sequence[str], status: str = "status",
     )
 
 
+def plan_summary(matches: DataFrame, by: Sequence[str], status: str = "status") -> DataFrame:
+    """The five counts of a plan: ready, yours (left to the applicant), gaps, failed, unknown."""
+    names = {"ready": "filled", "yours": "skipped_by_policy", "gaps": "skipped_no_value", "failed": "failed", "unknown": "skipped_no_match"}
+    return matches.groupBy(*by).agg(*(F.count_if(F.col(status) == s).alias(n) for n, s in names.items()))
+
+
+def _named(keep: Column, order: str, name: str) -> Column:
+    """The names of the rows that are kept, in order."""
+    return F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct(order, name)))), lambda x: x[name])
+
+
+def required_gaps(matches: DataFrame, by: Sequence[str], name: str, order: str, status: str = "status", required: Column | None = None) -> DataFrame:
+    """gaps: the names of the required controls that are neither filled nor not applicable, in order."""
+    req = required if required is not None else F.col("required")
+    return matches.groupBy(*by).agg(_named(req & ~F.col(status).isin("filled", "not_applicable"), order, name).alias("gaps"))
+
+
+def next_steps(matches: DataFrame, by: Sequence[str], name: str, order: str, canonical: str, status: str = "status") -> DataFrame:
+    """yours, gaps, failed: what is left, each name once, in order; keys: what a profile would have to supply for the gaps."""
+    of = lambda s: F.array_distinct(_named(F.col(status) == s, order, name))
+    keys = F.array_sort(F.collect_set(F.when((F.col(status) == "skipped_no_value") & (F.col(canonical) != ""), F.col(canonical))))
+    return matches.groupBy(*by).agg(of("skipped_by_policy").alias("yours"), of("skipped_no_value").alias("gaps"), of("failed").alias("failed"), keys.alias("keys"))
+
+
 def submit_gate(matches: DataFrame, by: Sequence[str], name: str, order: str, mode: str = "submit", status: str = "status", required: Column | None = None, shown: int = 5) -> DataFrame:
     """Whether an application may be submitted; if required controls need a review, the first of their names."""
-    req = required if required is not None else F.col("required")
-    gap = req & ~F.col(status).isin("filled", "not_applicable")
-    gaps = F.transform(F.sort_array(F.collect_list(F.when(gap, F.struct(order, name)))), lambda x: x[name])
-    out = matches.groupBy(*by).agg(gaps.alias("gaps"))
+    out = required_gaps(matches, by, name, order, status, required)
     blocked = F.size("gaps") > 0
     return out.select(*by, F.when(F.lit(mode) != "submit", "prepared").when(blocked, "needs_review").otherwise("submitted").alias("gate"), F.size("gaps").alias("n_gaps"), F.array_join(F.slice("gaps", 1, shown), ", ").alias("first_gaps"))

@@ -24,7 +24,7 @@ def pattern_score(x: Column, canonical: V.Canonical) -> Column:
 def accept_kind(accept: Column) -> Column:
     """'image', 'document' or '' for a file input's accept list."""
     low = F.lower(F.coalesce(accept, F.lit("")))
-    tokens = F.filter(F.transform(F.split(low, ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(low, ","), lambda t: F.trim(t)), lambda t: t != "")
     exts = F.transform(tokens, lambda t: F.when(t.startswith("."), t).otherwise(F.concat(F.lit("."), t)))
     has = lambda known: F.size(F.array_intersect(exts, F.array(*map(F.lit, known))))
     only_images = (F.size(exts) > 0) & (F.size(F.array_except(exts, F.array(*map(F.lit, V.IMAGE_EXTENSIONS)))) == 0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirgate.functions import text as T
@@ -45,27 +45,41 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, stop: Sequence[str]
     return exploded.groupBy(id_col, "term").agg(F.count("*").alias("n"))
 
 
+def salient_terms(x: Column, n: int = 25, weight: int = 3, stop: Sequence[str] = V.STOP_WORDS, phrases: Sequence[str] = V.KNOWN_PHRASES) -> Column:
+    """Array of struct(term, n): a text's most salient terms, all within the row.
+
+    Terms and proper nouns (marked) are sorted together; a run of equal terms gives its count and whether it is marked."""
+    mark = lambda c, m: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(m).alias("mark")))
+    both = F.array_sort(F.concat(mark(T.terms(x, stop, phrases), 0), mark(T.proper_nouns(x), 1)))
+
+    def runs(s: Column) -> Column:
+        last = F.filter(F.transform(s, lambda e, i: F.when(~e["term"].eqNullSafe(F.get(s, i + 1)["term"]), i)), lambda i: i.isNotNull())
+        counted = lambda ends: F.transform(ends, lambda i, k: F.struct(F.get(s, i).alias("at"), (i - F.coalesce(F.get(ends, k - 1), F.lit(-1))).alias("size")))
+        return F.element_at(F.transform(F.array(last), counted), 1)
+
+    found = F.element_at(F.transform(F.array(both), runs), 1)  # bound to a variable, so computed once
+    term = F.transform(found, lambda r: F.struct(r["at"]["term"].alias("term"), (r["size"] - r["at"]["mark"]).cast("long").alias("n"), r["at"]["mark"].alias("mark")))
+    ranked = F.array_sort(F.transform(F.filter(term, lambda r: r["n"] > 0), lambda r: F.struct((-r["n"] * F.when(r["mark"] == 1, weight).otherwise(1)).alias("salience"), r["term"].alias("term"), r["n"].alias("n"))))
+    return F.transform(F.slice(ranked, 1, n), lambda r: F.struct(r["term"].alias("term"), r["n"].alias("n")))
+
+
 def top_terms(docs: DataFrame, id_col: str, text_col: str, n: int = 25, weight: int = 3, **params) -> DataFrame:
     """id, term, n (plain count), rank of each document's most salient terms: counts, times weight for proper nouns; ties by term."""
-    counts = term_counts(docs, id_col, text_col, **params)
-    proper = docs.select(F.col(id_col), F.explode(T.proper_nouns(F.col(text_col))).alias("term"), F.lit(weight).alias("weight"))
-    weighed = counts.join(proper, [id_col, "term"], "left").withColumn("salience", F.col("n") * F.coalesce("weight", F.lit(1)))
-    w = Window.partitionBy(id_col).orderBy(F.col("salience").desc(), "term")
-    return weighed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(id_col, "term", "n", "rank")
+    listed = docs.select(id_col, F.posexplode(salient_terms(F.col(text_col), n, weight, **params)).alias("pos", "t"))
+    return listed.select(id_col, "t.term", "t.n", (F.col("pos") + 1).alias("rank"))
 
 
 def in_corpus(terms: DataFrame, corpus: DataFrame) -> DataFrame:
     """Adds `matched`: whether a term occurs in the corpus (one row, lower case) between characters that are no letters or digits.
 
     A term of letters and digits does if it is one of the corpus's runs of those: an equi-join. Others, such as c++ or node.js,
-    are looked up by pattern, each once."""
+    are looked up by pattern."""
     text = corpus.columns[0]
     runs = corpus.select(F.explode(F.split(text, "[^a-z0-9]+")).alias("term")).where("term != ''").distinct().withColumn("is_run", F.lit(True))
-    plain = F.col("term").rlike("^[a-z0-9]+$")
     quoted = F.regexp_replace("term", r"([^A-Za-z0-9 ])", r"\\$1")
-    odd = terms.where(~plain).select("term").distinct().withColumn("found", F.regexp_like(corpus.scalar(), F.concat(F.lit("(^|[^a-z0-9])"), quoted, F.lit("([^a-z0-9]|$)"))))
-    joined = terms.join(runs, "term", "left").join(odd, "term", "left")
-    return joined.withColumn("matched", F.coalesce("is_run", "found", F.lit(False))).drop("is_run", "found")
+    by_pattern = F.regexp_like(corpus.scalar(), F.concat(F.lit("(^|[^a-z0-9])"), quoted, F.lit("([^a-z0-9]|$)")))
+    found = F.coalesce("is_run", F.when(~F.col("term").rlike("^[a-z0-9]+$"), by_pattern), F.lit(False))
+    return terms.join(runs, "term", "left").withColumn("matched", found).drop("is_run")
 
 
 def keyword_gap(docs: DataFrame, id_col: str, text_col: str, corpus: DataFrame, n: int = 25, **params) -> DataFrame:

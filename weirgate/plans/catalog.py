@@ -100,15 +100,28 @@ def plan_counts(spark, sf_dir):
     return history.status_counts(_matches(spark, sf_dir), ["user_id"])
 
 
-@query(f"SELECT user_id, status, count(*) AS n FROM (SELECT user_id, {_STATUS} AS status FROM events) GROUP BY user_id, status")
+@query(f"""SELECT user_id, count(*) FILTER (s = 'filled') AS ready, count(*) FILTER (s = 'skipped_by_policy') AS yours, count(*) FILTER (s = 'skipped_no_value') AS gaps,
+CAST(0 AS BIGINT) AS failed, count(*) FILTER (s = 'skipped_no_match') AS unknown FROM (SELECT *, {_STATUS} AS s FROM events) GROUP BY user_id""")
 def plan_summary(spark, sf_dir):
-    return _matches(spark, sf_dir).groupBy("user_id", "status").agg(F.count("*").alias("n"))
+    return history.plan_summary(_matches(spark, sf_dir), ["user_id"])
 
 
-@query(f"SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS gaps FROM (SELECT *, {_STATUS} AS s FROM events) WHERE s <> 'filled' AND value > 50 GROUP BY user_id")
+@query(f"""SELECT user_id, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (s <> 'filled' AND value > 50), '') AS gaps
+FROM (SELECT *, {_STATUS} AS s FROM events) GROUP BY user_id""")
 def required_gaps(spark, sf_dir):
-    rows = _matches(spark, sf_dir).where("status != 'filled' AND required")
-    return rows.groupBy("user_id").agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]), ",").alias("gaps"))
+    found = history.required_gaps(_matches(spark, sf_dir), ["user_id"], "event_type", "event_id")
+    return found.select("user_id", joined("gaps", ",").alias("gaps"))
+
+
+@query(f"""WITH m AS (SELECT user_id, event_id, event_type, event_type || ' ' || hour(ts) AS label, {_STATUS} AS s FROM events),
+f AS (SELECT user_id, s, label, min(event_id) AS e FROM m GROUP BY ALL),
+k AS (SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS keys FROM (SELECT DISTINCT user_id, event_type FROM m WHERE s = 'skipped_no_value') GROUP BY user_id)
+SELECT user_id, coalesce(string_agg(label, '|' ORDER BY e) FILTER (s = 'skipped_by_policy'), '') AS yours,
+coalesce(string_agg(label, '|' ORDER BY e) FILTER (s = 'skipped_no_value'), '') AS gaps, coalesce(any_value(keys), '') AS keys FROM f LEFT JOIN k USING (user_id) GROUP BY user_id""")
+def next_steps(spark, sf_dir):
+    rows = _matches(spark, sf_dir).withColumn("label", F.concat_ws(" ", "event_type", F.hour("ts")))
+    steps = history.next_steps(rows, ["user_id"], "label", "event_id", "event_type")
+    return steps.select("user_id", joined("yours").alias("yours"), joined("gaps").alias("gaps"), joined("keys", ",").alias("keys"))
 
 
 @query(f"""SELECT user_id, CASE WHEN len(g) > 0 THEN 'needs_review' ELSE 'submitted' END AS gate, len(g) AS n_gaps, array_to_string(g[1:5], ', ') AS first_gaps
@@ -126,7 +139,7 @@ def step_repeat(spark, sf_dir):
 
 @query("SELECT event_id, user_id FROM events WHERE event_type LIKE '%c%' ORDER BY ts DESC, event_id LIMIT 12")
 def recent_topk(spark, sf_dir):
-    return table(spark, sf_dir, "events").where(F.contains("event_type", F.lit("c"))).orderBy(F.col("ts").desc(), "event_id").limit(12).select("event_id", "user_id")
+    return sources.newest(table(spark, sf_dir, "events"), "c", 12, "event_type", "ts", "event_id").select("event_id", "user_id")
 
 
 # ---- look-ups and joins ------------------------------------------------------------------------------------------
@@ -144,30 +157,70 @@ def skip_then_limit(spark, sf_dir):
     return history.first_unseen(orders, seen, "o_custkey", 10, "o_orderkey", retry=("F",)).select("o_orderkey", "o_custkey")
 
 
-@query("SELECT o_orderkey, coalesce(c_name, '') AS value FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'")
+_JOBS = "list({'company': o_orderpriority, 'title': o_orderstatus, 'ends': CASE WHEN o_orderstatus = 'O' THEN 'Present' ELSE strftime(o_orderdate, '%Y') END} ORDER BY o_orderkey)"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as resumes, their orders as positions."""
+    end = F.when(F.col("o_orderstatus") == "O", "Present").otherwise(F.date_format("o_orderdate", "yyyy"))
+    job = F.struct("o_orderkey", F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("title"), F.lit("").alias("location"), F.lit("").alias("start_date"), end.alias("end_date"), F.lit("").alias("description"))
+    jobs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.sort_array(F.collect_list(job)), lambda x: x.dropFields("o_orderkey")).alias("positions"))
+    rows = table(spark, sf_dir, "customer").join(jobs, "c_custkey", "left")
+    blank = {c: F.lit("") for c in ("phone", "address_line1", "state", "postal_code", "country", "linkedin_url", "github_url", "portfolio_url")}
+    study = "array<struct<school:string,degree:string,major:string,graduation_year:string,in_progress:boolean>>"
+    return rows.select(
+        F.col("c_custkey").alias("resume_id"), F.col("c_name").alias("first_name"), F.col("c_mktsegment").alias("last_name"),
+        F.when(F.col("c_acctbal") < 0, "").otherwise(F.concat("c_name", F.lit("@x.org"))).alias("email"), F.col("c_nationkey").cast("string").alias("city"),
+        *(v.alias(c) for c, v in blank.items()), F.coalesce("positions", F.from_json(F.lit("[]"), "array<struct<company:string,title:string,location:string,start_date:string,end_date:string,description:string>>")).alias("positions"),
+        F.from_json(F.lit('[{"school":"State","degree":"BS","major":"","graduation_year":"2001","in_progress":true}]'), study).alias("education"),
+    )
+
+
+_CUSTOMERS = f"""(SELECT c_custkey, c_name, c_mktsegment, c_nationkey, CASE WHEN c_acctbal < 0 THEN '' ELSE c_name || '@x.org' END AS email, coalesce(jobs, []) AS jobs,
+coalesce(list_filter(jobs, lambda x: x.ends = 'Present')[1], jobs[1]) AS job FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, {_JOBS} AS jobs FROM orders GROUP BY o_custkey) USING (c_custkey))"""
+_FLAT = {
+    "first_name": "c_name", "last_name": "c_mktsegment", "full_name": "c_name || ' ' || c_mktsegment", "email": "email", "confirm_email": "email", "city": "CAST(c_nationkey AS VARCHAR)",
+    "current_company": "coalesce(job.company, '')", "current_title": "coalesce(job.title, '')", "school": "'State'", "degree": "'BS (In Progress)'", "major": "''", "graduation_year": "'2001'",
+    **dict.fromkeys(("phone", "address_line1", "state", "postal_code", "country", "linkedin_url", "github_url", "portfolio_url"), "''"),
+}
+_VALUES = " UNION ALL ".join(f"SELECT c_custkey AS resume_id, '{c}' AS canonical, {v} AS value FROM {_CUSTOMERS}" for c, v in _FLAT.items())
+
+
+@query(_VALUES)
 def value_lookup(spark, sf_dir):
-    values = table(spark, sf_dir, "customer").where("c_mktsegment != 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return table(spark, sf_dir, "orders").join(values, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("value"))
+    return fill_plan.resume_values(_customers(spark, sf_dir))
+
+
+#: Labels of a form with what they stand for; the fifth stands for nothing, two are for the applicant to answer.
+_ASKED = (("First Name", "first_name"), ("Email address", "email"), ("Gender", "demographic"), ("Desired salary", "desired_salary"), ("Favourite colour", ""), ("Zip code", "postal_code"))
 
 
-@query("""SELECT c_custkey, CASE WHEN n_name IS NOT NULL AND n_regionkey = 2 THEN n_name WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END AS value,
-CASE WHEN n_name IS NOT NULL AND n_regionkey = 2 THEN 'profile' WHEN c_acctbal < 0 THEN 'policy' ELSE 'resume' END AS source FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+@query(f"""WITH q(field_idx, canonical) AS (VALUES {', '.join(f"({i}, '{c}')" for i, (_, c) in enumerate(_ASKED))}), r AS ({_VALUES}),
+p AS (SELECT c_custkey AS resume_id, 'desired_salary' AS canonical, n_name AS supplied FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2)
+SELECT CAST(c_custkey AS VARCHAR) AS form_id, CAST(field_idx AS BIGINT) AS field_idx, q.canonical, CASE WHEN q.canonical = '' THEN '' WHEN supplied IS NOT NULL THEN supplied ELSE coalesce(value, '') END AS value,
+CASE WHEN q.canonical = '' THEN 'skipped_no_match' WHEN supplied IS NOT NULL THEN 'filled' WHEN q.canonical IN ('demographic', 'desired_salary') THEN 'skipped_by_policy'
+WHEN coalesce(value, '') <> '' THEN 'filled' ELSE 'skipped_no_value' END AS status
+FROM customer CROSS JOIN q LEFT JOIN r ON r.resume_id = c_custkey AND r.canonical = q.canonical LEFT JOIN p ON p.resume_id = c_custkey AND p.canonical = q.canonical""")
 def profile_override(spark, sf_dir):
-    profile = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rows = table(spark, sf_dir, "customer").join(profile, "c_nationkey", "left")
-    own, policy = F.col("n_name").isNotNull(), F.col("c_acctbal") < 0
-    return rows.select("c_custkey", F.when(own, F.col("n_name")).when(policy, "").otherwise(F.col("c_mktsegment")).alias("value"), F.when(own, "profile").when(policy, "policy").otherwise("resume").alias("source"))
+    """The whole plan over a form for each customer: matching, the resume's values, what the applicant supplied."""
+    labels = F.posexplode(F.array(*(F.lit(x) for x, _ in _ASKED))).alias("field_idx", "label")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("form_id"), F.col("c_custkey").alias("resume_id"), labels)
+    empty = ("name", "element_id", "aria_label", "placeholder", "autocomplete", "accept", "grp")
+    fields = asked.withColumns({c: F.lit("") for c in empty} | {"tag": F.lit("input"), "field_type": F.lit("text"), "grp_index": F.lit(-1)})
+    nation = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("supplied"))
+    profile = table(spark, sf_dir, "customer").join(nation, "c_nationkey").select(F.col("c_custkey").alias("resume_id"), F.lit("desired_salary").alias("canonical"), "supplied")
+    return fill_plan.plan(fields, _customers(spark, sf_dir), profile).select("form_id", "field_idx", "canonical", "value", "status")
 
 
-@query(f"SELECT n_nationkey, left(n_name, 2) AS state, CASE WHEN upper(left(n_name, 2)) IN ({', '.join(map(quoted, V.STATE_CODES))}) THEN 'United States' ELSE '' END AS country FROM nation")
+@query(f"SELECT n_nationkey, left(n_name, 2) AS state, CASE WHEN upper(left(n_name, 2)) IN ('NA', 'NATION', 'AL', 'AK', 'NE', 'MP', 'TX') AND upper(left(n_name, 2)) <> 'NA' THEN 'United States' ELSE '' END AS country FROM nation")
 def infer_country(spark, sf_dir):
     state = F.left("n_name", F.lit(2))
     return table(spark, sf_dir, "nation").select("n_nationkey", state.alias("state"), resume.infer_country(state).alias("country"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'an')")
+@query("SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'tion_1')")
 def location_filter(spark, sf_dir):
-    return table(spark, sf_dir, "nation").where(postings.in_location(F.col("n_name"), " AN ")).select("n_nationkey", "n_name")
+    return table(spark, sf_dir, "nation").where(postings.in_location(F.col("n_name"), " TION_1 ")).select("n_nationkey", "n_name")
 
 
 # ---- matching: lineitem as controls of forms ---------------------------------------------------------------------
@@ -217,12 +270,18 @@ def collapse_empty_rows(spark, sf_dir):
     return rows.groupBy("l_orderkey").agg(F.count_if("any_filled").alias("shown"), F.count_if(~F.col("any_filled")).alias("hidden"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, list(CAST(l_suppkey AS VARCHAR) ORDER BY l_linenumber, l_suppkey) AS entries FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey, CAST(o_orderkey % 4 AS INTEGER) AS row, coalesce(entries[o_orderkey % 4 + 1], '') AS value FROM orders LEFT JOIN l ON o_orderkey = l_orderkey""")
+_ENTRIES = {
+    "entry_title": "p.title", "entry_company": "p.company", "entry_description": "''", "entry_start_month": "''", "entry_start_year": "''", "entry_end_month": "''",
+    "entry_end_year": "CASE WHEN p.ends = 'Present' THEN '' ELSE p.ends END", "entry_currently_here": "CASE WHEN p.ends = 'Present' THEN 'yes' ELSE '' END", "entry_location": "''",
+}
+_STUDIES = {"entry_school": "State", "entry_degree": "BS (In Progress)", "entry_field_of_study": "", "entry_end_year": "2001"}
+
+
+@query(f"""WITH j AS (SELECT c_custkey, unnest(jobs) AS p, CAST(generate_subscripts(jobs, 1) - 1 AS INTEGER) AS row FROM {_CUSTOMERS})
+""" + " UNION ALL ".join([f"SELECT c_custkey AS resume_id, 'positions' AS source, row, '{c}' AS canonical, {v} AS value FROM j" for c, v in _ENTRIES.items()]
+    + [f"SELECT c_custkey, 'education', 0, '{c}', '{v}' FROM customer" for c, v in _STUDIES.items()]))
 def entry_value_lookup(spark, sf_dir):
-    entries = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"].cast("string")).alias("entries"))
-    row = (F.col("o_orderkey") % 4).cast("int")
-    return table(spark, sf_dir, "orders").join(entries, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", row.alias("row"), F.coalesce(F.get("entries", row), F.lit("")).alias("value"))
+    return fill_plan.entry_values(_customers(spark, sf_dir))
 
 
 _WANTED = Inline("wanted string", ("part 1",), ("brand",), ("green",), ("a",))
@@ -278,9 +337,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _D = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+#: References in the pages, for the SQL; the ampersand is last.
+_REFS = {"&lt;": 60, "&gt;": 62, "&quot;": 34, "&#39;": 39, "&nbsp;": 160, "&copy;": 169, "&middot;": 183, "&ndash;": 8211, "&mdash;": 8212, "&eacute;": 233, "&uuml;": 252, "&amp;": 38}
+
+
 def _unescaped(x: str) -> str:
-    for ref, char in T.REFERENCES.items():
-        x = f"replace({x}, '{ref}', chr({ord(char)}))"
+    for ref, code in _REFS.items():
+        x = f"replace({x}, '{ref}', chr({code}))"
     return x
 
 
@@ -295,8 +358,7 @@ def keyword_filter(spark, sf_dir):
 @query(f"SELECT doc_id, trim(line) AS url, 'url-list' AS source FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {_D}) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#')")
 def url_list_clean(spark, sf_dir):
     rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("value"))
-    url = F.trim("value")
-    return rows.select("doc_id", url.alias("url"), F.lit("url-list").alias("source")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    return sources.url_list(rows, "value", "doc_id")
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS normal FROM {_D}")
@@ -429,10 +491,10 @@ def portfolio_url(spark, sf_dir):
     return _URLS.df(spark).select("id", T.portfolio(F.col("text")).alias("portfolio_url"))
 
 
-_PLACES = Inline("id int, text string", (1, "Ana B\nSan Antonio, TX 78240 | x"), (2, "Austin, TX, 78701-1234"), (3, "St. Louis, MO"), (4, "no place"), (5, "Rome, IT is"), (6, "x, ABC"))
+_PLACES = Inline("id int, text string", (1, "Ana B\nSan Antonio, TX 78240 | x"), (2, "Austin, TX, 78701-1234"), (3, "St. Louis, MO"), (4, "no place"), (5, "Rome, IT is"), (6, "x, ABC"), (7, "Austin, TX then Dallas, TX 75201"))
 
 
-@query(rf"SELECT id, regexp_extract(text, '{T.LOCATION}', 1) AS city, regexp_extract(text, '{T.LOCATION}', 2) AS state, regexp_extract(text, '{T.LOCATION_ZIP}', 1) AS postal_code FROM {_PLACES.sql}".replace("\n", "' || chr(10) || '"))
+@query(rf"SELECT id, regexp_extract(text, '{T.LOCATION}', 1) AS city, regexp_extract(text, '{T.LOCATION}', 2) AS state, regexp_extract(text, '{T.LOCATION}', 3) AS postal_code FROM {_PLACES.sql}".replace("\n", "' || chr(10) || '"))
 def location_extract(spark, sf_dir):
     c = resume.contact(F.col("text"))
     return _PLACES.df(spark).select("id", c["city"].alias("city"), c["state"].alias("state"), c["postal_code"].alias("postal_code"))
@@ -557,27 +619,36 @@ def scan_stats(spark, sf_dir):
 
 # ---- conversations as lines in order ------------------------------------------------------------------------------
 
-@query("""SELECT conv_id, turn, coalesce(lag(text) OVER w, '') AS prev, coalesce(lead(text) OVER w, '') AS next, CAST(sum(CAST(role = 'user' AS INTEGER)) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def _history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as experience sections: a user's turn is a dated line of a position, the others describe it."""
+    dated = F.concat(F.lit("Engineer, Org "), "conv_id", F.lit(", Town  "), F.col("turn") + 2000, F.lit(" - Present"))
+    return table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.when(F.col("role") == "user", dated).otherwise(F.coalesce("text", F.lit(""))).alias("line"))
+
+
+_POSITIONS = r"""WITH t AS (SELECT *, CAST(sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS INTEGER) - 1 AS row FROM conversations),
+d AS (SELECT conv_id, row, string_agg(trim(text, E' \t\n\r'), chr(10) ORDER BY turn) AS description FROM t WHERE role <> 'user' AND row >= 0 AND trim(coalesce(text, '')) <> '' GROUP BY ALL)
+SELECT conv_id, row, 'Org ' || conv_id AS company, 'Engineer' AS title, 'Town' AS location, CAST(turn + 2000 AS VARCHAR) AS start_date, 'Present' AS end_date, coalesce(description, '') AS description
+FROM t LEFT JOIN d USING (conv_id, row) WHERE role = 'user'"""
+
+
+@query(_POSITIONS)
 def positions(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag("text").over(w), F.lit("")).alias("prev"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("next"), F.sum((F.col("role") == "user").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("island"))
+    return resume.positions(_history_lines(spark, sf_dir), "conv_id")
 
 
-@query("""SELECT conv_id, island, string_agg(text, chr(10) ORDER BY turn) AS description FROM (SELECT *, CAST(sum(CAST(role = 'user' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM conversations) WHERE role <> 'user' AND island > 0 GROUP BY ALL""")
+@query(f"SELECT conv_id, row, description FROM ({_POSITIONS}) WHERE description <> ''")
 def description_blocks(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    rows = table(spark, sf_dir, "conversations").withColumn("island", F.sum((F.col("role") == "user").cast("int")).over(w)).where("role != 'user' AND island > 0")
-    return rows.groupBy("conv_id", "island").agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("description"))
+    return resume.positions(_history_lines(spark, sf_dir), "conv_id").where("description != ''").select("conv_id", "row", "description")
 
 
-@query("""WITH l AS (SELECT conv_id, turn AS pos, CASE WHEN role = 'user' THEN left(text, 12) ELSE '' END AS degree, CASE WHEN role = 'assistant' THEN left(text, 10) ELSE '' END AS school FROM conversations WHERE role IN ('user', 'assistant')),
+@query("""WITH l AS (SELECT conv_id, turn AS pos, CASE WHEN role = 'user' THEN text ELSE '' END AS degree, CASE WHEN role = 'assistant' THEN text ELSE '' END AS school FROM conversations WHERE role IN ('user', 'assistant')),
 n AS (SELECT *, greatest(1, sum(CAST(degree <> '' AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS entry FROM l),
 e AS (SELECT conv_id, entry, coalesce(arg_min(school, pos) FILTER (school <> ''), '') AS school, coalesce(arg_min(degree, pos) FILTER (degree <> ''), '') AS degree FROM n GROUP BY conv_id, entry),
 d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, school, degree ORDER BY entry) AS r FROM e WHERE school <> '' OR degree <> '')
 SELECT conv_id, school, degree FROM d WHERE r = 1""")
 def education_entries(spark, sf_dir):
-    at = lambda role, n: F.when(F.col("role") == role, F.left("text", F.lit(n))).otherwise("")
-    rows = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", F.col("turn").alias("pos"), at("assistant", 10).alias("school"), at("user", 12).alias("degree"), F.lit("").alias("major"), F.lit("").alias("year"), F.lit(False).alias("open"))
+    at = lambda role: F.when(F.col("role") == role, F.col("text")).otherwise("")
+    rows = table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')").select("conv_id", F.col("turn").alias("pos"), at("assistant").alias("school"), at("user").alias("degree"), F.lit("").alias("major"), F.lit("").alias("year"), F.lit(False).alias("open"))
     return resume.education_entries(rows, "conv_id").select("conv_id", "school", "degree")
 
 
@@ -586,9 +657,9 @@ _TITLE = rf"length(s) BETWEEN 1 AND 70 AND NOT regexp_matches(s, '^[•\-*●▪
 
 @query(rf"""SELECT conv_id, turn, {_TITLE} AS plausible, ({_TITLE}) AND regexp_matches(s, '{resume.ROLE_WORD}') AS is_role,
 ({_TITLE}) AND (regexp_matches(s, '{resume.ROLE_WORD}') OR (len(w) BETWEEN 2 AND 9 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z0-9]'))) >= len(w) * 0.6)) AS could_be
-FROM (SELECT *, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS w FROM (SELECT conv_id, turn, trim(left(text, 40)) AS s FROM conversations))""")
+FROM (SELECT *, list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '') AS w FROM (SELECT conv_id, turn, trim(text) AS s FROM conversations))""")
 def title_tests(spark, sf_dir):
-    s = F.trim(F.left("text", F.lit(40)))
+    s = F.trim("text")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", resume.plausible(s).alias("plausible"), resume.is_role_title(s).alias("is_role"), resume.could_be_title(s).alias("could_be"))
 
 
@@ -598,13 +669,6 @@ def wizard_union(spark, sf_dir):
     return steps.unionByName(steps.where("turn = 0").withColumn("role", F.lit("again")))
 
 
-@query("""WITH f AS (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY ALL)
-SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS labels, array_to_string(list_sort(list_distinct(list(role))), ',') AS keys FROM f GROUP BY conv_id""")
-def next_steps(spark, sf_dir):
-    firsts = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("turn"))
-    return firsts.groupBy("conv_id").agg(joined(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("labels"), joined(F.array_sort(F.collect_set("role")), ",").alias("keys"))
-
-
 @query("""SELECT conv_id, '{"conv_id":' || conv_id || ',"fields":[' || string_agg('{"turn":' || turn || ',"role":"' || role || '"}', ',' ORDER BY turn, role) || ']}' AS report FROM conversations GROUP BY conv_id""")
 def run_report_json(spark, sf_dir):
     return sources.report_json(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], "turn")
@@ -853,3 +917,20 @@ def resume_parse(spark, sf_dir):
     got = resume.parse_resumes(docs)
     at = lambda c, *fs: joined(F.transform(c, lambda x: F.concat_ws("@", *(x[f] for f in fs))))
     return got.select("resume_id", "first_name", "last_name", "email", "phone", "city", "state", "postal_code", "country", "summary", joined("skills").alias("skills"), at("positions", "title", "company", "start_date", "end_date", "description").alias("positions"), at("education", "degree", "school", "major", "graduation_year").alias("education"))
+
+
+@query(f"SELECT doc_id AS resume_id, lower(text || ' summary sql spark dev acme built bs math state') AS corpus FROM {_D} WHERE text <> ''")
+def resume_corpus(spark, sf_dir):
+    job, study = '[{"title":"Dev","company":"Acme","description":"built"}]', '[{"degree":"BS","major":"Math","school":"State"}]'
+    rows = _docs(spark, sf_dir).where("text != ''").select(
+        F.col("doc_id").alias("resume_id"), F.col("text").alias("raw_text"), F.lit("Summary").alias("summary"), F.array(F.lit("SQL"), F.lit("Spark")).alias("skills"),
+        F.from_json(F.lit(job), "array<struct<title:string,company:string,description:string>>").alias("positions"), F.from_json(F.lit(study), "array<struct<degree:string,major:string,school:string>>").alias("education"),
+    )
+    return resume.corpus(rows)
+
+
+@query("SELECT * FROM (VALUES ('/s/a.html', '1', 0, 'q')) t(form_id, frame_path, field_idx, name)")
+def frame_scan(spark, sf_dir):
+    pages = _FRAMES.df(spark)
+    found = forms.scan_with_frames(pages, pages.where("path = '/s/a.html'"))
+    return found.select("form_id", joined(F.col("frame_path").cast("array<string>")).alias("frame_path"), "field_idx", "name")

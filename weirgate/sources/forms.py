@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -128,7 +129,7 @@ class Page:
     def container(self, n: Node, levels: int = 4) -> str:
         for _, box in zip(range(levels), n.ancestors(), strict=False):
             for x in box.walk():
-                if x is n or not (x.tag in ("label", "legend") or "label" in x.get("class").lower()):
+                if x is n or not (x.tag in ("label", "legend") or "label" in x.get("class")):
                     continue
                 if x.get("for") and x.get("for") != n.get("id"):
                     continue
@@ -178,10 +179,33 @@ class ScanFrames:
 
 def scan_forms(pages: DataFrame, id_col: str = "form_id", html_col: str = "html") -> DataFrame:
     """One row per control, in document order, with repeating groups and date parts named."""
-    spark = pages.sparkSession
-    spark.udtf.register("weirgate_scan_form", ScanForm)
-    pages.select(F.col(id_col).alias("form_id"), F.col(html_col).alias("html")).createOrReplaceTempView("weirgate_pages")
-    return name_groups(spark.sql("SELECT p.form_id, f.* FROM weirgate_pages p, LATERAL weirgate_scan_form(p.html) f"))
+    rows = pages.select(F.col(id_col).alias("form_id"), F.col(html_col).alias("html"))
+    return name_groups(_lateral(rows, ScanForm, "html").drop("html"))
+
+
+def _lateral(rows: DataFrame, function, column: str) -> DataFrame:
+    """rows with what a table function gives for each, under names that only this call uses."""
+    spark, name = rows.sparkSession, f"weirgate_{uuid.uuid4().hex}"
+    spark.udtf.register(f"{name}_f", function)
+    rows.createOrReplaceTempView(name)
+    out = spark.sql(f"SELECT p.*, f.* FROM {name} p, LATERAL {name}_f(p.{column}) f")
+    spark.catalog.dropTempView(name)
+    return out
+
+
+def scan_with_frames(pages: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """The controls of saved pages and of the saved frames within them: form_id (the root's path), frame_path, then as scan_forms.
+
+    Controls are numbered through a page, then its frames in order; groups are named over the whole form."""
+    found = frame_walk(pages, roots, depth).join(pages.select("path", "html"), "path")
+    scanned = _lateral(found.select(F.col("root").alias("form_id"), "frame_path", "html"), ScanForm, "html").drop("html")
+    order = Window.partitionBy("form_id").orderBy("frame_path", "field_idx")
+    return name_groups(scanned.withColumn("field_idx", F.row_number().over(order) - 1))
+
+
+def contexts(scanned: DataFrame) -> DataFrame:
+    """form_id, contexts: in how many documents (the page and its frames) a form's controls lie."""
+    return scanned.groupBy("form_id").agg(F.countDistinct("frame_path").alias("contexts"))
 
 
 def name_groups(fields: DataFrame) -> DataFrame:
@@ -201,17 +225,16 @@ def date_part_label(label, aria):
 
 def local_frame(base, src):
     """The file that a frame's source names beside its page, or null if it is remote or no file."""
-    path = F.url_decode(F.replace(F.regexp_replace(src, "[?#].*$", ""), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(src, "[?#].*$", "")
+    path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)  # a stray % stays
     remote = F.lower(src).rlike(r"^(https?:|//|data:|about:)") | (path == "")
     return F.when(~remote, F.concat(F.regexp_replace(base, "[^/]*$", ""), path))
 
 
 def frame_walk(pages: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """root, path, frame_path (indices from the root): pages and the saved frames within them, to a depth. pages: path, html."""
-    spark = pages.sparkSession
-    spark.udtf.register("weirgate_scan_frames", ScanFrames)
-    pages.select("path", "html").createOrReplaceTempView("weirgate_frame_pages")
-    edges = spark.sql("SELECT p.path AS base, f.frame_idx, f.src FROM weirgate_frame_pages p, LATERAL weirgate_scan_frames(p.html) f").select("base", "frame_idx", local_frame(F.col("base"), F.col("src")).alias("target"))
+    listed = _lateral(pages.select(F.col("path").alias("base"), "html"), ScanFrames, "html")
+    edges = listed.select("base", "frame_idx", local_frame(F.col("base"), F.col("src")).alias("target"))
     edges = edges.join(pages.select(F.col("path").alias("target")), "target", "left_semi")  # frames that cannot be resolved keep their index
     level = roots.select(F.col("path").alias("root"), "path", F.array().cast("array<int>").alias("frame_path"))
     out = level

@@ -9,10 +9,10 @@ BOARD_JSON = "jobs array<struct<title:string,absolute_url:string,content:string,
 ARRAY_JSON = "array<struct<text:string,applyUrl:string,hostedUrl:string,descriptionPlain:string,categories:struct<location:string>>>"
 
 
-def url_list(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One posting per line that is neither blank nor a # comment."""
+def url_list(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """One posting per line that is neither blank nor a # comment; with the columns to keep."""
     url = F.trim(F.regexp_replace(F.col(column), "\r$", ""))
-    return lines.select(url.alias("url"), F.lit("url-list").alias("source")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    return lines.select(*keep, url.alias("url"), F.lit("url-list").alias("source")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
@@ -55,10 +55,20 @@ def unknown_keys(profile: Column, known: list[str]) -> Column:
     return F.array_sort(F.array_except(F.map_keys(profile), F.array(*map(F.lit, known))))
 
 
+def single_url(spark: SparkSession, url: str) -> DataFrame:
+    """One posting of a url given by hand."""
+    return spark.createDataFrame([(url.strip(), "url")], "url string, source string")
+
+
+def newest(files: DataFrame, hint: str, n: int, name: str = "path", when: str = "modificationTime", tie: str = "path") -> DataFrame:
+    """The n newest files whose names hold a hint: a distributed top-n."""
+    return files.where(F.contains(F.lower(name), F.lit(hint))).orderBy(F.col(when).desc(), tie).limit(n)
+
+
 def recent_files(spark: SparkSession, path: str, glob: str = "*.pdf", hint: str = "resume", n: int = 12) -> DataFrame:
     """The newest files whose names hold a hint; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "modificationTime").where(F.contains(F.lower("path"), F.lit(hint))).orderBy(F.col("modificationTime").desc(), "path").limit(n)
+    return newest(files.select("path", "modificationTime"), hint, n)
 
 
 def read_html(spark: SparkSession, path: str) -> DataFrame:
@@ -72,9 +82,14 @@ def html_posting(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", " ")
     plain = lambda x: clean_spaces(unescape(F.regexp_replace(x, "<[^>]+>", " ")))
     title = plain(F.regexp_extract(bare, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    head = plain(F.regexp_extract(bare, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    meta = lambda name: unescape(F.regexp_extract(bare, rf'(?is)<meta[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)"', 1))
-    a, b = meta("description"), meta("og:description")
+    head = plain(F.regexp_extract(bare, r"(?is)<(h[12])\b[^>]*>(.*?)</\1>", 2))
+    def meta(attribute: str, name: str) -> Column:
+        """The content of a meta tag, its attributes in any order and with either quotes."""
+        tag = F.regexp_extract(bare, rf"""(?is)<meta\b(?=[^>]*\b{attribute}\s*=\s*["']?{name}["'\s/>])[^>]*>""", 0)
+        quoted = [F.regexp_extract(tag, rf"(?is)\bcontent\s*=\s*{q}([^{q}]*){q}", 1) for q in "\"'"]
+        return clean_spaces(unescape(first_non_empty(*quoted)))
+
+    a, b = meta("name", "description"), meta("property", "og:description")
     return F.struct(first_non_empty(head, title).alias("title"), F.when(F.length(a) >= F.length(b), a).otherwise(b).alias("meta"), plain(bare).alias("body"))
 
 
