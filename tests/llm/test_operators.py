@@ -124,6 +124,16 @@ def test_components(spark):
     assert got == {(i, 0) for i in (*range(51), 100)} | {(200, 200), (300, 200)}
 
 
+def test_components_of_stars_with_hot_nodes(spark):
+    """Hubs that are the smallest, the largest and a middle node of over a thousand edges, joined by a path."""
+    hubs = [(0, range(1, 2500)), (9000, range(3000, 5500)), (6500, range(5500, 8000))]
+    edges = [(hub, leaf) for hub, leaves in hubs for leaf in leaves if leaf != hub] + [(2499, 3000), (5499, 5500), (10_000, 10_001)]
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {(n, 0) for n in {n for e in edges for n in e} if n < 10_000} | {(10_000, 10_000), (10_001, 10_000)}
+    names = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "src string, dst string")
+    assert {tuple(r) for r in components(names).collect()} == {(n, "a") for n in "abc"} | {(n, "x") for n in "xy"}
+
+
 # ---- quality rules
 
 def test_measurements_are_brute_force(docs, odd):
