@@ -134,6 +134,13 @@ def test_components_of_stars_with_hot_nodes(spark):
     assert {tuple(r) for r in components(names).collect()} == {(n, "a") for n in "abc"} | {(n, "x") for n in "xy"}
 
 
+def test_families_beyond_a_broadcast(docs, monkeypatch):
+    """Where ids are too many for a broadcast, the texts are shuffled: the same rows."""
+    want = sorted(minhash_dedup.near_duplicates(docs, 4, 0.8).collect())
+    monkeypatch.setattr(minhash_dedup, "MOST_IDS", 0)
+    assert sorted(minhash_dedup.near_duplicates(docs, 4, 0.8).collect()) == want
+
+
 # ---- quality rules
 
 def test_measurements_are_brute_force(docs, odd):

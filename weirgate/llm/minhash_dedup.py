@@ -35,6 +35,7 @@ from weirgate.llm.components import components
 ROWS, BANDS = 6, 42
 BLOCK = 512
 BIN = 400  # documents of small families in a task's bin, about
+MOST_IDS = 2_000_000  # ids of documents in families that are broadcast at most, about 80 MB
 MARGIN = 0.15  # pairs whose minima agree this much less than the threshold are not verified: over 5 standard deviations
 
 _A = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
@@ -155,7 +156,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, id_col:
     # the blocks of a family: members are dealt by a hash of their id, each pair of blocks meets once
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     member = families.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    with_text = texts.join(member, F.col("doc_id") == F.col("node"))
+    # only texts of families travel; where the ids are too many for a broadcast, all texts are shuffled
+    wanted = texts.join(F.broadcast(families.select("node")), F.col("doc_id") == F.col("node"), "left_semi") if total <= MOST_IDS else texts
+    with_text = wanted.join(member, F.col("doc_id") == F.col("node"))
     meets = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = with_text.withColumn("meet", F.explode(meets)).withColumn(
         "task", F.when(F.col("blocks") == 1, F.concat(F.lit("bin"), F.pmod(F.xxhash64("family"), F.lit(bins)))).otherwise(F.concat_ws("-", F.col("family"), F.least("block", "meet"), F.greatest("block", "meet")))
