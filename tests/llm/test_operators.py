@@ -526,6 +526,19 @@ def test_a_document_between_hides_no_link(spark):
     assert got == links
 
 
+def test_many_documents_between_hide_no_link(spark):
+    """Of 202 documents the first and the last share 50 words; each of the others has 14 of these, too few for a strong pair."""
+    rng = np.random.default_rng(5)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]
+    rows = []
+    for i in range(0, 6000, 1000):
+        shared = text(50)
+        parts = [shared, *(shared[max(0, k % 5 * 10 - 2) :][:14] for k in range(200)), shared]
+        rows += [(i + k, " ".join(text(60) + part + text(60))) for k, part in enumerate(parts)]
+    got = {(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i + 201, i) for i in range(0, 6000, 1000)}
+
+
 def test_differently_edited_copies_are_linked_by_their_base(spark):
     rng = np.random.default_rng(6)
     text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]

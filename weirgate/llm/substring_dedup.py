@@ -8,21 +8,23 @@ of LEAST shingles over its centre reach, since a longer passage is made of such
 share yields one value in both, under each hash with the probability of the passages' similarity.
 
 1. Documents with equal word sequences are one class: only its smallest id goes on, the others are returned as its copies.
-2. The windows of HASHES hashes are grouped by value. In a group, in order of ids, each window is paired with the
-   NEAREST windows before it, so pairs are linear in the windows. A value that many documents of one batch have is
-   chained there, and one window of the batch goes on to the shuffle: no value is hot, however common.
+2. The windows of HASHES hashes are grouped by value. In a group of up to CROWDED windows all pairs are made. In a larger
+   one, in order of ids, each window is paired with the NEAREST before it, so pairs are linear in the windows; its windows
+   are kept for step 4, which makes up for the other pairs.
 3. Interval join: the windows that two documents share, no further apart than a passage's least length, form an
    interval, which stays if it has windows of ENOUGH hashes. Overlapping intervals of one document, whatever the
    partner, are a region; regions are cut out of the texts once, and every pair with an interval is verified on full
    sets, passage by passage.
-4. A document that shares too little can lie between two that share a passage. So the regions connected by pairs of
-   STRONG hashes without a link, and the regions linked to one of these, are a family in which all pairs are considered by their
-   common shingles: a pair is searched if a stretch of LEAST shingles is common to nearly the share a passage needs,
-   and links found before do not connect half of a passage's shingles yet. Families are binned to tasks; a family of
-   more than BLOCK shingles is dealt to pairs of blocks, each pair one task, so none is dropped.
+4. The links over the centres of a crowded group's windows part it into classes. Within a class no link is lost. Of a group
+   with several, all pairs of windows of different classes are compared by sketches of the shingles around the centre: a
+   stretch of LEAST over both centres holds three of six parts of PART places whole, in a row beside the centre, and at most
+   6 of their shingles are not common.
+   The pairs with ALIKE bits in common there are searched, unless links
+   found before over both centres connect them. A group of more windows than a BLOCK is dealt to pairs of blocks, each
+   pair one task, so none is dropped.
 
-A pair of passages at 80 % shares values of ENOUGH of the HASHES hashes with a probability over 0.9999. A document
-that hides a link has most of the values of both sides, so its pairs have STRONG hashes.
+A pair of passages at 80 % shares values of ENOUGH of the HASHES hashes with a probability over 0.9999. Either ENOUGH of
+these values have small groups, and the pair is verified in step 3, or one has a crowded group, and step 4 sees it.
 
 Edge cases: null, empty and short texts (under WORDS words) have no passages. Repeats within one document are not
 paired. Null ids are ignored. Repeated rows with one id are one document. Very long texts are read whole. An empty
@@ -47,9 +49,10 @@ from weirgate.llm.components import components
 SHINGLE = 5
 WORDS = 50  # words of a passage at least
 LEAST = WORDS - SHINGLE + 1
-HASHES, ENOUGH, STRONG = 8, 2, 5
-NEAREST = 2
-LOCAL = 8  # documents of a batch that have a value before the batch chains them itself
+HASHES, ENOUGH = 8, 2
+CROWDED = 32  # windows of a value of which all pairs are made
+NEAREST = 2  # windows before it that a window of a larger group is paired with at first
+PART, ALIKE = 11, 20  # places of a part of a sketch, bits that three parts in a row have in common at least
 GAPS = (2 * SHINGLE + 1, SHINGLE + 1, 1)  # steps between matching shingles that a passage may hold, widest first
 CROWD = 64
 PERCENT = 80  # similarity of passages
@@ -109,22 +112,35 @@ def _identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "digest", "n_words"])
 
 
-_WINDOW = ("value", "doc_id", "span", "other_id", "other_span")
+_WINDOW = ("value", "doc_id", "span")
 
 
 def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (first.astype(np.int64) << 32) | last.astype(np.int64)
 
 
-def _chain(value: np.ndarray, doc: np.ndarray, span: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows and the rows of equal value up to NEAREST places before them, of other documents; the rows are sorted."""
-    for back in range(1, NEAREST + 1):
-        at = back + np.flatnonzero((value[back:] == value[:-back]) & (doc[back:] != doc[:-back]))
-        yield at, at - back
+def _chain(value: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and rows before them of equal value, of other documents: all of a group of up to CROWDED rows, of a larger one
+    the NEAREST, the rest of which _unresolved makes up for. The rows are sorted, their groups whole."""
+    size, rank = _groups(value)
+    for back in range(1, max(CROWDED, NEAREST + 1)):
+        at = np.flatnonzero((rank >= back) & ((size <= CROWDED) | (back <= NEAREST)))
+        at = at[doc[at] != doc[at - back]]
+        if len(at):
+            yield at, at - back
+
+
+def _groups(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows have each row's value, and how many of them are before it; the rows are sorted."""
+    opens = np.ones(len(value), bool)
+    opens[1:] = value[1:] != value[:-1]
+    begin = np.flatnonzero(opens)
+    size = np.diff(np.append(begin, len(value)))
+    return np.repeat(size, size), np.arange(len(value)) - np.repeat(begin, size)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each batch (other_id null), and pairs of windows whose value many documents of the batch have."""
+    """The windows of each batch."""
     for batch in batches:
         ids = batch.column(0).fill_null(0).to_numpy()
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -149,65 +165,44 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(value), bool)
         new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(centre) > after[:-1] + before[1:] + 1)
         at = np.flatnonzero(new)
-        value, doc, span = value[at], doc[at], _span(centre[at], np.maximum.reduceat(centre, at))
-        opens = np.ones(len(value), bool)
-        opens[1:] = value[1:] != value[:-1]
-        begin = np.flatnonzero(opens)
-        many = np.repeat(np.diff(np.append(begin, len(value))) >= LOCAL, np.diff(np.append(begin, len(value))))
-        sent = np.flatnonzero(~many | opens)
-        yield _window_rows(value[sent], doc[sent], span[sent])
-        inner = np.flatnonzero(many)
-        v, d, p = value[inner], doc[inner], span[inner]
-        for i, j in _chain(v, d, p):
-            if len(i):
-                yield _window_rows(v[i], d[i], p[i], d[j], p[j])
-
-
-def _window_rows(value, doc, span, other=None, other_span=None) -> pa.RecordBatch:
-    null = pa.nulls(len(value), pa.int64())
-    cols = [pa.array(value), pa.array(doc), pa.array(span)]
-    return pa.RecordBatch.from_arrays([*cols, *(null if x is None else pa.array(x) for x in (other, other_span))], list(_WINDOW))
+        cols = (value[at], doc[at], _span(centre[at], np.maximum.reduceat(centre, at)))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), list(_WINDOW))
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of windows, the larger document first, with the bit of their hash; the rows come sorted by value and document."""
+    """Pairs of windows, the larger document first, with the bit of their hash; the rows come sorted by value and document.
 
-    def rows(v, d, p, e, q) -> pa.RecordBatch:
-        swap = d < e
-        cols = (np.where(swap, e, d), np.where(swap, d, e), np.where(swap, q, p), np.where(swap, p, q))
-        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array((1 << (v & 15)).astype(np.int32))], ["doc_id", "other_id", "span", "other_span", "hash"])
+    A window of a crowded group also comes alone, with its own document as the other, and the value as the other span."""
 
-    held = [np.empty(0, np.int64)] * 3
-    for batch in batches:
-        ready = batch.column("other_id").is_valid().to_numpy(zero_copy_only=False)
-        now = [batch.column(c).to_numpy() for c in _WINDOW[:3]]
-        if ready.any():
-            yield rows(*(x[ready] for x in now), *(batch.column(c).filter(pa.array(ready)).to_numpy() for c in _WINDOW[3:]))
-        fresh = len(held[0])
-        value, doc, span = (np.concatenate([a, b[~ready]]) for a, b in zip(held, now, strict=True))
-        for i, j in _chain(value, doc, span):
-            i, j = i[i >= fresh], j[i >= fresh]
-            if len(i):
-                yield rows(value[i], doc[i], span[i], doc[j], span[j])
-        held = [x[-NEAREST:] for x in (value, doc, span)]
+    def rows(d, e, p, q, bit) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (d, e, p, q)), pa.array(bit.astype(np.int32))], ["doc_id", "other_id", "span", "other_span", "hash"])
+
+    for value, doc, span in _whole_keys(batches, 1):
+        for i, j in _chain(value, doc):
+            swap = doc[i] < doc[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            yield rows(doc[i], doc[j], span[i], span[j], 1 << (value[i] & 15))
+        alone = np.flatnonzero(_groups(value)[0] > CROWDED)
+        if len(alone):
+            yield rows(doc[alone], doc[alone], span[alone], value[alone], np.zeros(len(alone)))
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
     """Sorted rows as arrays, cut so that rows of equal keys (the first columns) stay together."""
-    held = None
+    held: list[list[np.ndarray]] = []  # of one key
     for batch in batches:
         if not len(batch):
             continue
-        now = [c.to_numpy() for c in batch.columns]
-        if held is not None:
-            now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)]
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if all(first[0] == last[-1] for first, last in zip(held[0][:n_keys], held[-1][:n_keys], strict=True)):
+            continue
+        now = [np.concatenate(c) for c in zip(*held, strict=True)]
         same = np.logical_and.reduce([k == k[-1] for k in now[:n_keys]])
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield [x[:cut] for x in now]
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield held
+        cut = int(np.flatnonzero(~same)[-1]) + 1
+        yield [x[:cut] for x in now]
+        held = [[x[cut:] for x in now]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _islands(new_key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -220,9 +215,19 @@ def _islands(new_key: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals of two documents, from the first to the last shared centre, with windows of ENOUGH hashes and centres."""
+    """Intervals of two documents, from the first to the last shared centre, with windows of ENOUGH hashes and centres.
+
+    The windows of crowded groups go on as they are, with their value; that of an interval is null."""
     low = (1 << 32) - 1
+    names = ["doc_id", "first", "last", "other_id", "other_first", "other_last", "value"]
     for doc, other, span, other_span, bit in _whole_keys(batches, 2):
+        alone = doc == other
+        if alone.any():
+            d, p, v = doc[alone], span[alone], other_span[alone]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (d, p >> 32, p & low, d, p >> 32, p & low, v)], names)
+            doc, other, span, other_span, bit = (c[~alone] for c in (doc, other, span, other_span, bit))
+        if not len(doc):
+            continue
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])
         at = _islands(new, span >> 32, (span & low) + LEAST)
@@ -234,9 +239,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enough = (hashes >= ENOUGH) & ((centres >= ENOUGH) | (hashes >= HASHES - 2))
         cols = [doc[at], np.minimum.reduceat(span >> 32, at), np.maximum.reduceat(span & low, at)]
         cols += [other[at], np.minimum.reduceat(other_span >> 32, at), np.maximum.reduceat(other_span & low, at)]
-        cols.append(hashes >= STRONG)
-        names = ["doc_id", "first", "last", "other_id", "other_first", "other_last", "strong"]
-        yield pa.RecordBatch.from_arrays([pa.array(c[enough]) for c in cols], names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[enough]) for c in cols), pa.nulls(np.count_nonzero(enough), pa.int64())], names)
 
 
 def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +254,150 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names)
 
 
+def _classes(node: np.ndarray, link: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the n nodes that links connect with each; node and link are the ends of edges."""
+    label = np.arange(n)
+    while len(node):
+        low = np.full(int(link.max()) + 1, n)
+        np.minimum.at(low, link, label[node])
+        new = label.copy()
+        np.minimum.at(new, node, low[link])
+        np.minimum.at(new, label[node], low[link])
+        while ((up := new[new]) != new).any():
+            new = up
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of the crowded groups that links part into several classes, with the number of the class.
+
+    The rows have a window and a link over it (0: none), and come sorted by value, document and place."""
+    for value, doc, first, last, link in _whole_keys(batches, 1):
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])
+        node, at = np.cumsum(new) - 1, np.flatnonzero(new)
+        group = np.cumsum(np.concatenate([[False], value[1:] != value[:-1]]))
+        by = np.lexsort((link, group))
+        by = by[link[by] != 0]
+        fresh = np.concatenate([[False], (group[by[1:]] != group[by[:-1]]) | (link[by[1:]] != link[by[:-1]])]) if len(by) else by
+        label = _classes(node[by], np.cumsum(fresh), len(at))
+        begin = np.flatnonzero(np.diff(group[at], prepend=-1))
+        several = [np.minimum.reduceat(c, begin) != np.maximum.reduceat(c, begin) for c in (label, doc[at])]
+        some = np.flatnonzero((several[0] & several[1])[group[at]])
+        cols = [*(c[at][some] for c in (value, doc, first, last)), label[some]]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["value", "doc_id", "first", "last", "class"])
+
+
+def _parted_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The region of each window of a parted group; the rows come sorted by document and first."""
+    for doc, first, last, value, label in _whole_keys(batches, 1):
+        new = np.ones(len(doc), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        at = _islands(new, first, last + LEAST)
+        n = np.diff(np.append(at, len(doc)))
+        cols = [doc, np.repeat(first[at], n), np.repeat(np.maximum.reduceat(last, at), n), value, label, first, last]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["doc_id", "first", "last", "value", "class", "own_first", "own_last"])
+
+
+def _sketch(shingles: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: np.ndarray, centre: np.ndarray, step: int) -> np.ndarray:
+    """For the centre of each of the rows, bits of the shingles of the first, the first two and the first three parts before
+    (step -1) or after it (1), in 1, 2 and 2 words; all bits where some of these shingles are equal."""
+    place = centre[:, None] + step * np.arange(1, 3 * PART + 1)
+    there = (place >= 0) & (place < size[rows, None])
+    some = shingles[np.where(there, begin[rows, None] + place, 0)].astype(np.uint64)
+    bit = np.where(there, np.uint64(1) << (some & np.uint64(63)), np.uint64(0))
+    odd = (some >> np.uint64(6)) & np.uint64(1) == 1
+    words = [np.bitwise_or.reduce(bit[:, :PART], axis=1)]
+    for n in (2 * PART, 3 * PART):
+        words += [np.bitwise_or.reduce(np.where(w, bit, np.uint64(0))[:, :n], axis=1) for w in (odd, ~odd)]
+    ranked = np.sort(np.where(there, some, (np.uint64(1) << np.uint64(40)) + np.arange(3 * PART, dtype=np.uint64)), axis=1)
+    repeats = (ranked[:, 1:] == ranked[:, :-1]).any(axis=1)
+    return np.stack([np.where(repeats, ~np.uint64(0), w) for w in words])
+
+
+_AROUND = ("value", "class", "doc_id", "node", "first", "last")
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each region of a parted group, with the shingles that stretches of LEAST places over them reach."""
+    for batch in batches:
+        rows = []
+        for node, doc, start, shingles, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for w in windows:
+                lo = max(0, w["own_first"] - LEAST + 1 - start)
+                rows.append((w["value"], w["class"], doc, node, w["own_first"], w["own_last"], start + lo, shingles[4 * lo : 4 * (w["own_last"] + LEAST - start)]))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        arrays = [*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, [*_AROUND, "start", "shingles"])
+
+
+def _parted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between windows of one task, of different classes and documents; rows come sorted by task.
+
+    Of the stretches of LEAST places over a centre, the one with most shingles that other classes of the task have too
+    shows how many can be common; a window with fewer than DENSE has no link here (see _hopeless). The others are compared
+    by sketches, and the pairs left are searched unless links found before over both centres connect them. Of a task of
+    two blocks, the pairs across are compared."""
+    for task, block, label, doc, first, last, start, shingles in _whole_keys(batches, 1):
+        out = []
+        edges = np.concatenate([[0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]])
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            of = slice(lo, hi)
+            out += _task_links(block[of], label[of], doc[of], first[of], last[of], start[of], [np.frombuffer(x, np.uint32) for x in shingles[of]])
+        cols = list(zip(*out, strict=True)) or [[]] * len(_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], list(_FOUND))
+
+
+def _task_links(block, label, doc, first, last, start, parts: list[np.ndarray]) -> list[list[int]]:
+    size = np.array([len(p) for p in parts])
+    s, row, at = np.concatenate(parts), np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    order = np.argsort(s, kind="stable")
+    ranked, of = s[order], label[row[order]]
+    begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    several = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin)
+    hit = np.empty(len(s), np.int64)
+    hit[order] = np.repeat(several, np.diff(np.append(begin, len(s))))
+    hits = np.concatenate([[0], np.cumsum(hit)])
+    most = np.zeros(len(size), np.int64)
+    if len(s) >= LEAST:
+        inside = row[: len(s) - LEAST + 1] == row[LEAST - 1 :]
+        np.maximum.at(most, row[: len(s) - LEAST + 1][inside], (hits[LEAST:] - hits[:-LEAST])[inside])
+    some = np.flatnonzero(most >= DENSE)
+    sides = np.concatenate([_sketch(s, at, size, some, (c - start)[some], step) for c, step in ((first, -1), (last, 1))])
+    sides[:, (first != last)[some]] = ~np.uint64(0)  # which of several centres counts is open
+    share, root, blocks, docs = LEAST / most[some], label[some].copy(), block[some], doc[some]
+    one_block, out = block.min() == block.max(), []
+    for x in range(0, len(some), 256):
+        a = slice(x, min(x + 256, len(some)))
+        b = slice(x, len(some))
+        differ = (root[a, None] != root[None, b]) & (docs[a, None] != docs[None, b])
+        if not one_block:
+            differ &= blocks[a, None] != blocks[None, b]
+        if not differ.any():
+            continue
+        same = [np.bitwise_count(side[a, None] & side[None, b]) for side in sides]
+        (l1, l2, l3), (r1, r2, r3) = ((w[0], w[1] + w[2], w[3] + w[4]) for w in (same[:5], same[5:]))
+        good = ((l3 >= ALIKE) | (l2 + r1 >= ALIKE) | (l1 + r2 >= ALIKE) | (r3 >= ALIKE)) & differ
+        good &= share[a, None] + share[None, b] <= 2.25 * SLACK
+        for i, row_good in enumerate(good, x):
+            todo = x + np.flatnonzero(row_good)
+            todo = todo[todo > i]
+            while len(todo := todo[root[todo] != root[i]]):
+                j, todo = int(todo[0]), todo[1:]
+                p, q = int(some[i]), int(some[j])
+                pair = _numbered(parts[p], parts[q])
+                over = False
+                for u, v, y, z in () if _hopeless(*pair) else _passages(*pair, PERCENT):
+                    out.append(_found((doc[p], start[p], u, v), (doc[q], start[q], y, z)))
+                    over |= bool(u <= first[p] - start[p] and last[p] - start[p] <= v and y <= first[q] - start[q] and last[q] - start[q] <= z)
+                if over:
+                    root[root == root[j]] = root[i]
+    return out
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the regions out of each document, as 32-bit shingles, with where they begin."""
     for batch in batches:
@@ -757,26 +904,26 @@ def _searched(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=list(_FOUND)).astype("int64")
 
 
-def _candidates(texts: DataFrame, copies: DataFrame) -> DataFrame:
-    """Intervals of two classes' documents that have windows of ENOUGH hashes in common."""
+def _candidates(texts: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Intervals of two classes' documents that have windows of ENOUGH hashes in common, and the windows of crowded groups."""
     windows = texts.mapInArrow(_windows, ", ".join(f"{c} long" for c in _WINDOW))
-    ready = F.col("other_id").isNotNull()
-    dealt = windows.repartition(F.when(ready, F.xxhash64("value", "doc_id")).otherwise(F.col("value"))).sortWithinPartitions("value", "doc_id", "span")
+    dealt = windows.repartition("value").sortWithinPartitions("value", "doc_id", "span")
     pairs = dealt.mapInArrow(_paired, "doc_id long, other_id long, span long, other_span long, hash int")
     order = ("doc_id", "other_id", "span")
     joined = pairs.repartition("doc_id", "other_id").sortWithinPartitions(*order)
-    found = joined.mapInArrow(_joined, "doc_id long, first long, last long, other_id long, other_first long, other_last long, strong boolean")
+    found = joined.mapInArrow(_joined, "doc_id long, first long, last long, other_id long, other_first long, other_last long, value long")
     found = materialize(found, "passage-intervals")
     # copies stand for their class, which has the same words at the same places
     for side in ("doc_id", "other_id"):
         rep = copies.select(F.col("doc_id").alias("copy_id"), F.col("rep").alias("of"))
         found = found.join(rep, F.col(side) == F.col("copy_id"), "left").withColumn(side, F.coalesce("of", side)).drop("copy_id", "of")
-    return found.where("doc_id != other_id").distinct().withColumn("candidate", F.shiftleft(F.xxhash64("doc_id", "other_id", "first", "other_first"), 1) + F.col("strong").cast("long"))
+    crowded = found.where("value IS NOT NULL").select("value", "doc_id", "first", "last").distinct()
+    return found.where("value IS NULL AND doc_id != other_id").drop("value").distinct().withColumn("candidate", F.xxhash64("doc_id", "other_id", "first", "other_first")), crowded
 
 
 def _region_pairs(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The regions (node, doc_id, first, last), and the pairs (a, b) of them that have a candidate, how far their candidates
-    reach on either side, and whether one is strong."""
+    """The regions (node, doc_id, first, last), and the pairs (a, b) of them that have a candidate, and how far their candidates
+    reach on either side."""
     one = candidates.select("doc_id", "first", "last", "candidate")
     two = candidates.select(F.col("other_id").alias("doc_id"), F.col("other_first").alias("first"), F.col("other_last").alias("last"), "candidate")
     sides = one.unionAll(two).repartition("doc_id").sortWithinPartitions("doc_id", "first")
@@ -785,27 +932,45 @@ def _region_pairs(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = F.struct("node", "own_first", "own_last")
     pairs = placed.groupBy("candidate").agg(F.min(side).alias("x"), F.max(side).alias("y")).where("x.node != y.node")
     reach = [f(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for f, c in ((F.min, "own_first"), (F.max, "own_last"))]
-    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(*reach, F.bool_or(F.col("candidate").bitwiseAND(F.lit(1)) == 1).alias("strong"))
+    pairs = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(*reach)
     return placed.select("node", "doc_id", "first", "last").distinct(), materialize(pairs, "passage-pairs")
 
 
-def _unresolved(pairs: DataFrame, links: DataFrame, slices: DataFrame) -> DataFrame:
-    """Regions with the family in which links can be hidden: those connected by strong pairs without a link, and those linked to one of them."""
-    linked = links.select("a", "b").distinct()
-    families = materialize(components(pairs.where("strong").select("a", "b").join(linked, ["a", "b"], "left_anti"), "a", "b").withColumnRenamed("component", "family"), "passage-families")
-    near = linked.select(F.col("a").alias("node"), F.col("b").alias("beside")).unionAll(linked.select(F.col("b").alias("node"), F.col("a").alias("beside")))
-    beside = near.join(families, "node").select(F.col("beside").alias("node"), "family")
-    both = families.withColumn("core", F.lit(True)).unionByName(beside.withColumn("core", F.lit(False)))
-    both = both.groupBy("node", "family").agg(F.bool_or("core").alias("core"))
-    members = materialize(both.join(slices.select("node", (F.length("shingles") / 4).alias("length")), "node"), "passage-members")
-    sizes = members.groupBy("family").agg(F.sum("length").alias("total"))
-    bins = 1 + int((members.agg(F.sum("length")).first()[0] or 0) // BIN)
-    dealt = members.join(sizes, "family").withColumn("blocks", F.ceil(F.col("total") / F.lit(BLOCK)).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own_bin = F.array(F.concat(F.lit("bin"), F.pmod(F.xxhash64("family"), F.lit(bins))))
-    block_pair = lambda b: F.concat_ws(":", "family", F.least("block", b), F.greatest("block", b))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block_pair)
-    return dealt.select("node", "family", "block", "core", F.explode(F.when(F.col("blocks") == 1, own_bin).otherwise(meets)).alias("task"))
+def _verify(pairs: DataFrame, slices: DataFrame) -> DataFrame:
+    """The links (a, b, and the passages) of pairs of regions around what they share."""
+    one = slices.toDF("a", "doc_id", "first", "shingles")
+    two = slices.toDF("b", "other_id", "other_first", "other_shingles")
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "doc_id", "first", "shingles", "x_own_first", "x_own_last", "other_id", "other_first", "other_shingles", "y_own_first", "y_own_last")
+    return met.mapInArrow(_verified, "a long, b long, " + ", ".join(f"{c} long" for c in _FOUND))
+
+
+def _cut(texts: DataFrame, regions: DataFrame, name: str) -> DataFrame:
+    """The shingles of regions (node, doc_id, first, last)."""
+    wanted = regions.groupBy("doc_id").agg(F.collect_list(F.struct("node", "first", "last")).alias("wanted"))
+    cut = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    slices = cut.mapInArrow(_slices, "node long, doc_id long, first long, shingles binary")
+    return materialize(slices.dropDuplicates(["node"]), name)
+
+
+def _unresolved(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between windows of the crowded groups that the given links do not connect."""
+    link = F.xxhash64(*_FOUND)
+    sides = [links.select(F.col(d).alias("of"), F.col(a).alias("from_word"), F.col(b).alias("to_word"), link.alias("link")) for d, a, b in (_FOUND[:3], _FOUND[3:])]
+    over = (F.col("doc_id") == F.col("of")) & (F.col("first") >= F.col("from_word")) & (F.col("last") <= F.col("to_word") - SHINGLE)
+    marked = crowded.join(sides[0].unionAll(sides[1]).distinct(), over, "left").select("value", "doc_id", "first", "last", F.coalesce("link", F.lit(0)).alias("link"))
+    parted = marked.repartition("value").sortWithinPartitions("value", "doc_id", "first").mapInArrow(_parted, "value long, doc_id long, first long, last long, class long")
+    placed = parted.select("doc_id", "first", "last", "value", "class").repartition("doc_id").sortWithinPartitions("doc_id", "first")
+    placed = placed.mapInArrow(_parted_regions, "doc_id long, first long, last long, value long, class long, own_first long, own_last long")
+    placed = materialize(placed.withColumn("node", F.xxhash64("doc_id", "first")), "passage-parted")
+    slices = _cut(texts, placed.select("node", "doc_id", "first", "last").distinct(), "passage-parted-slices")
+    windows = placed.groupBy("node").agg(F.collect_list(F.struct("value", "class", "own_first", "own_last")).alias("windows"))
+    around = slices.join(windows, "node").select("node", "doc_id", "first", "shingles", "windows").mapInArrow(_surroundings, ", ".join(f"{c} long" for c in (*_AROUND, "start")) + ", shingles binary")
+    sizes = placed.groupBy("value").agg(F.count("*").alias("rows"))
+    blocks = F.ceil(F.col("rows") * F.lit(2 * LEAST - 1) / F.lit(BLOCK)).cast("int")
+    dealt = join_counted(around, sizes, "value", "rows", placed.count()).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "first"), "blocks").cast("long"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("value", F.least("block", b.cast("long")), F.greatest("block", b.cast("long"))))
+    tasks = dealt.select(F.explode(meets).alias("task"), "block", "class", "doc_id", *_AROUND[4:], "start", "shingles").repartition("task").sortWithinPartitions("task", "block", "doc_id")
+    return tasks.mapInArrow(_parted_links, ", ".join(f"{c} long" for c in _FOUND))
 
 
 def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -818,17 +983,11 @@ def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
     copies = join_counted(known, classes, "digest", "rows", known.count()).where("doc_id != rep").select("doc_id", "rep", "n_words").distinct()
     copies = materialize(copies, "passage-copies")
-    regions, pairs = _region_pairs(_candidates(texts, copies))
-    wanted = regions.groupBy("doc_id").agg(F.collect_list(F.struct("node", "first", "last")).alias("wanted"))
-    cut = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    slices = cut.mapInArrow(_slices, "node long, doc_id long, first long, shingles binary")
-    slices = materialize(slices.dropDuplicates(["node"]), "passage-slices")
-    one = slices.toDF("a", "doc_id", "first", "shingles")
-    two = slices.toDF("b", "other_id", "other_first", "other_shingles")
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "doc_id", "first", "shingles", "x_own_first", "x_own_last", "other_id", "other_first", "other_shingles", "y_own_first", "y_own_last")
-    links = materialize(met.mapInArrow(_verified, "a long, b long, " + ", ".join(f"{c} long" for c in _FOUND)), "passage-links")
-    dealt = _unresolved(pairs, links, slices).join(slices, "node")
-    hidden = dealt.groupBy("task").applyInPandas(_searched, ", ".join(f"{c} long" for c in _FOUND))
+    candidates, crowded = _candidates(texts, copies)
+    regions, pairs = _region_pairs(candidates)
+    slices = _cut(texts, regions, "passage-slices")
+    links = materialize(_verify(pairs, slices), "passage-links")
+    hidden = _unresolved(crowded, links, texts)
     ints = [F.col(c).cast("long" if c in ("doc_id", "other_id") else "int").alias(c) for c in _FOUND]
     whole = copies.select("doc_id", F.lit(0), "n_words", "rep", F.lit(0), "n_words").toDF(*_FOUND)
     return links.select(*_FOUND).unionByName(hidden).select(*ints).distinct().unionAll(whole)
