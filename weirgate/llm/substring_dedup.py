@@ -38,7 +38,6 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,12 +55,9 @@ PART, ALIKE = 11, 20  # places of a part of a sketch, bits that three parts in a
 GAPS = (2 * SHINGLE + 1, SHINGLE + 1, 1)  # steps between matching shingles that a passage may hold, widest first
 CROWD = 64
 PERCENT = 80  # similarity of passages
-BLOCK = 300_000  # shingles of a task's block of regions, about
-BIN = 30_000  # shingles of small families in a task's bin, about
-HEAVY = 16  # regions that have a shingle before it is counted in a matrix
+BLOCK = 300_000  # shingles around the windows of a task's block, about
 DENSE = 3 * LEAST // 4  # places of LEAST that have a common shingle, before a pair is searched
 SLACK = 1.03  # a passage can be denser than its densest stretch
-HITS = LEAST // 2  # places of common shingles not yet connected that make a pair worth a search
 _SEEDS = [np.uint64(x) for x in mix(np.arange(1, HASHES + 1, dtype=np.uint64)).tolist()]
 
 
@@ -646,209 +642,6 @@ def _split(some: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
     return np.split(some, np.flatnonzero(np.diff(np.searchsorted(places, some)) > 1) + 1)
 
 
-class _Common:
-    """Which shingles the regions of a family have in common, and which of these are connected by links.
-
-    An entry is a shingle of a region; links connect entries of one shingle. Entries are sorted by shingle, then region."""
-
-    def __init__(self, regions: list[np.ndarray]):
-        self.n = len(regions)
-        shingle, region = np.concatenate(regions), np.repeat(np.arange(self.n), [len(r) for r in regions])
-        order = np.lexsort((region, shingle))
-        shingle, region = shingle[order], region[order]
-        new = np.ones(len(shingle), bool)
-        new[1:] = shingle[1:] != shingle[:-1]
-        fresh = new.copy()
-        fresh[1:] |= region[1:] != region[:-1]
-        at = np.flatnonzero(fresh)
-        col = np.cumsum(new)[at] - 1
-        shared = np.bincount(col)[col] > 1  # only these can connect regions
-        places = np.diff(np.append(at, len(shingle)))[shared]
-        self.shingle, self.region, self.places = shingle[at][shared], region[at][shared], np.minimum(places, 255)
-        self.col, self.seen = col[shared], np.full(int(col[-1]) + 1 if len(col) else 0, -1, np.int64)
-        # the entry at each place of each region, -1 where the shingle is in no other region
-        number = np.where(shared, np.cumsum(shared) - 1, -1)
-        at_place = np.empty(len(order), np.int64)
-        at_place[order] = number[np.cumsum(fresh) - 1]
-        self.at_place = np.split(at_place, np.cumsum([len(r) for r in regions])[:-1])
-        self.parent, self.mark = np.arange(len(self.region)), np.zeros(len(self.region), np.int8)
-        self.place = (order[at] - np.cumsum([0, *map(len, regions)])[region[at]])[shared]  # the first of an entry
-        self.in_x = np.zeros(len(self.region), np.int64)
-        by = np.lexsort((self.shingle, self.region))
-        bounds = np.searchsorted(self.region[by], np.arange(self.n + 1))
-        self.entries = [by[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
-
-    def top(self, e: np.ndarray) -> np.ndarray:
-        """The entries that stand for all that links connect with these."""
-        at = self.parent[e]
-        while ((up := self.parent[at]) != at).any():
-            at = up
-        self.parent[e] = at
-        return at
-
-    def both(self, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-        """The entries of the shingles that two regions have in common."""
-        e, f = self.entries[x], self.entries[y]
-        _, i, j = np.intersect1d(self.shingle[e], self.shingle[f], assume_unique=True, return_indices=True)
-        return e[i], f[j]
-
-    def worth(self, y: int, e: np.ndarray, f: np.ndarray) -> bool:
-        """Whether a stretch of y looks similar to one of x and has HITS places not connected to it (f in y, e in x)."""
-        self.mark[f] = np.where(self.top(e) == self.top(f), 1, 2)
-        self.in_x[f] = self.place[e]
-        own = self.at_place[y]
-        state = np.where(own >= 0, self.mark[np.maximum(own, 0)], 0)
-        self.mark[f] = 0
-        hits, news = (np.concatenate([[0], np.cumsum(c)]) for c in (state > 0, state == 2))
-        here, new = hits[LEAST:] - hits[:-LEAST], news[LEAST:] - news[:-LEAST]
-        at = np.flatnonzero((here >= DENSE) & (new >= HITS))
-        if not len(at):
-            return False
-        # what lies between the first and the last common shingle, on both sides
-        where = np.flatnonzero(state)
-        first, last = where[hits[at]], where[hits[at + LEAST] - 1]
-        in_y = last - first + 1
-        in_x = self.in_x[own[last]] - self.in_x[own[first]] + 1
-        return bool(((in_x <= 0) | (SLACK * 180 * here[at] >= 80 * (in_x + in_y))).any())
-
-    def connect(self, e: np.ndarray, f: np.ndarray, shingles: np.ndarray) -> None:
-        inside = np.isin(self.shingle[e], shingles)
-        # links connect entries of one shingle, so the pairs of different shingles are apart
-        self.parent[self.top(e[inside])] = self.top(f[inside])
-
-    def labels(self) -> np.ndarray:
-        label = self.parent.copy()
-        while ((up := label[label]) != label).any():
-            label = up
-        return label
-
-    def dense(self, x: int, ys: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Those of the regions ys that can have a similar passage of which HITS places are not connected.
-
-        Of the stretches of LEAST places, the one with most common shingles shows on either side how much the two can
-        have in common: sets of a and b elements, c of them common, are 80 % alike if a / c + b / c is 2.25 at most."""
-        mine = self.entries[x]
-        self.seen[self.col[mine]] = np.arange(len(mine))
-        parts = [self.at_place[y] for y in ys.tolist()]
-        of = np.repeat(np.arange(len(ys)), [len(p) for p in parts])
-        entry = np.concatenate(parts)
-        held = np.maximum(entry, 0)
-        other = np.where(entry >= 0, self.seen[self.col[held]], -1)
-        self.seen[self.col[mine]] = -1
-        hit = other >= 0
-        apart = hit & (label[held] != label[mine[np.maximum(other, 0)]])
-        n = len(of) - LEAST + 1
-        own = self.at_place[x]
-        if n <= 0 or len(own) < LEAST:
-            return ys[:0]
-        hits, news = (np.concatenate([[0], np.cumsum(c)]) for c in (hit, apart))
-        there = np.where(of[:n] == of[LEAST - 1 :], hits[LEAST:] - hits[:n], 0)
-        good = (there >= DENSE) & (news[LEAST:] - news[:n] >= HITS)
-        most = np.zeros(len(ys), np.int64)
-        np.maximum.at(most, of[:n][good], there[good])
-        some = np.flatnonzero(most)
-        # the same on the side of x, a row for each region left
-        row = np.full(len(ys), -1)
-        row[some] = np.arange(len(some))
-        use = hit & (row[of] >= 0)
-        has = np.zeros((len(some), len(mine) + 1), bool)
-        has[row[of[use]], other[use]] = True
-        where = np.full(len(own), len(mine))
-        where[own >= 0] = np.searchsorted(self.shingle[mine], self.shingle[own[own >= 0]])
-        here = np.cumsum(has[:, where], axis=1, dtype=np.int32)
-        here = np.concatenate([here[:, LEAST - 1 : LEAST], here[:, LEAST:] - here[:, :-LEAST]], axis=1).max(axis=1, initial=1)
-        return ys[some[LEAST / here + LEAST / most[some] <= 2.25 * SLACK]]
-
-    def chained(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of regions that follow each other among those that have a shingle, those with most such shingles first."""
-        at = np.flatnonzero(self.shingle[1:] == self.shingle[:-1])
-        pairs, n = np.unique(self.region[at] * self.n + self.region[at + 1], return_counts=True)
-        pairs = pairs[np.argsort(-n, kind="stable")]
-        return pairs // self.n, pairs % self.n
-
-    def apart(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of regions with HITS places or more of common shingles that are not connected, those with most first."""
-        label = self.labels()
-        opens = np.ones(len(label), bool)
-        opens[1:] = self.shingle[1:] != self.shingle[:-1]
-        begin = np.flatnonzero(opens)
-        if not len(begin):
-            return begin, begin
-        low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
-        size = np.diff(np.append(begin, len(label)))
-        split = low != high
-        keys, left, right = [], [], []
-        for k in np.unique(size[split & (size <= HEAVY)]).tolist():
-            x, y = np.triu_indices(k, 1)
-            b = begin[split & (size == k)][:, None]
-            left.append((b + x).ravel())
-            right.append((b + y).ravel())
-        left, right = (np.concatenate(c) if c else np.empty(0, np.int64) for c in (left, right))
-        differ = label[left] != label[right]
-        left, right = left[differ], right[differ]
-        keys = self.region[left] * self.n + self.region[right]
-        pairs, inverse = np.unique(keys, return_inverse=True)
-        weight = np.minimum(self.places[left], self.places[right])
-        score = np.bincount(inverse, weight, len(pairs)) if len(pairs) else np.empty(0)
-        heavy = np.flatnonzero(split & (size > HEAVY))
-        if len(heavy):
-            total = np.zeros((self.n, self.n), np.float32)
-            total[pairs // self.n, pairs % self.n] = score
-            for lo in range(0, len(heavy), 2048):
-                some = heavy[lo : lo + 2048]
-                e = np.concatenate([np.arange(begin[h], begin[h] + size[h]) for h in some])
-                col = np.repeat(np.arange(len(some)), size[some])
-                # pairs with the shingle, less those with the shingle and the label
-                _, same = np.unique(np.stack([col, label[e]]), axis=1, return_inverse=True)
-                for c, sign in ((col, 1), (same.ravel(), -1)):
-                    for first in range(0, int(c.max()) + 1, 4096):
-                        part = (c >= first) & (c < first + 4096)
-                        has = np.zeros((self.n, 4096), np.float32)
-                        has[self.region[e[part]], c[part] - first] = 1
-                        total += sign * (has @ has.T)
-            x, y = np.nonzero(np.triu(total, 1) >= HITS)
-            score = total[x, y]
-        else:
-            ok = score >= HITS
-            x, y, score = pairs[ok] // self.n, pairs[ok] % self.n, score[ok]
-        order = np.lexsort((y, x, -score))
-        return x[order], y[order]
-
-
-def family_links(regions: list[np.ndarray], of_doc: np.ndarray, block: np.ndarray, core: np.ndarray, percent: int = 80) -> Iterator[tuple[int, ...]]:
-    """(region, region, first and last in the one, in the other) of similar passages of a family's regions.
-
-    First the pairs that follow each other among the regions of a shingle, then all pairs with HITS places or more that
-    no links connect yet, each region's closest first; one region of a pair belongs to the core of the family, as pairs
-    of others were verified where they have an interval. Of two blocks, only links across are returned."""
-    if len(regions) == 2:
-        if of_doc[0] != of_doc[1]:
-            yield from ((0, 1, *p) for p in passages(regions[0], regions[1], percent))
-        return
-    common, one_block, tried = _Common(regions), block.min() == block.max(), set()
-    label, stale = common.labels(), 0
-    for pairs in (common.chained, common.apart):
-        xs, ys = pairs()
-        by = np.argsort(xs, kind="stable")
-        xs, ys = xs[by], ys[by]
-        for part in np.split(np.arange(len(xs)), np.flatnonzero(np.diff(xs)) + 1) if len(xs) else ():
-            x = int(xs[part[0]])
-            others = ys[part]
-            others = others[(of_doc[others] != of_doc[x]) & (core[others] | core[x])]
-            for y in common.dense(x, others, label).tolist() if len(others) else ():
-                e, f = common.both(x, y)
-                if (x, y) in tried or not common.worth(y, e, f):
-                    continue
-                tried.add((x, y))
-                for u, v, p, q in passages(regions[x], regions[y], percent):
-                    if one_block or block[x] != block[y]:
-                        yield x, y, u, v, p, q
-                    common.connect(e, f, np.intersect1d(regions[x][u : v + 1], regions[y][p : q + 1]))
-                    stale += 1
-            if stale >= 8:
-                label, stale = common.labels(), 0
-
-
 _FOUND = ("doc_id", "from_word", "to_word", "other_id", "other_from_word", "other_to_word")
 
 
@@ -859,7 +652,9 @@ def _found(one: tuple, other: tuple) -> list[int]:
 
 
 def _hopeless(a: np.ndarray, b: np.ndarray, size: int) -> bool:
-    """Whether even the stretches of LEAST places with most common shingles have too few of them (see _Common.dense)."""
+    """Whether even the stretches of LEAST places with most common shingles have too few of them.
+
+    Sets of a and b elements, c of them common, are 80 % alike if a / c + b / c is 2.25 at most."""
     if min(len(a), len(b)) < LEAST:
         return True
     most = []
@@ -890,20 +685,6 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", *_FOUND])
 
 
-def _searched(rows: pd.DataFrame) -> pd.DataFrame:
-    """The links of one task's families."""
-    rows = rows.sort_values("core", ascending=False, kind="stable").drop_duplicates(["family", "node"]).sort_values(["family", "doc_id", "first"]).reset_index(drop=True)
-    sets = [np.frombuffer(x, np.uint32) for x in rows["shingles"]]
-    family, doc, block, core, first = (rows[c].to_numpy() for c in ("family", "doc_id", "block", "core", "first"))
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(family)) + 1, [len(rows)]])
-    out = []
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        for x, y, u, v, p, q in family_links(sets[lo:hi], doc[lo:hi], block[lo:hi], core[lo:hi]):
-            x, y = lo + x, lo + y
-            out.append(_found((doc[x], first[x], u, v), (doc[y], first[y], p, q)))
-    return pd.DataFrame(out, columns=list(_FOUND)).astype("int64")
-
-
 def _candidates(texts: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Intervals of two classes' documents that have windows of ENOUGH hashes in common, and the windows of crowded groups."""
     windows = texts.mapInArrow(_windows, ", ".join(f"{c} long" for c in _WINDOW))
