@@ -567,6 +567,47 @@ def test_large_families_are_dealt_to_blocks(spark, monkeypatch):
         assert {p for p in got if p[0] >= 300} == {(300 + i, i % 7) for i in range(100)}
 
 
+def test_a_concentrated_edit_hides_no_passage(spark):
+    """Three words edited amid 67 leave 56 of 70 shingles, 80 %, but no stretch of 46 is that dense."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 10**8, n)]
+    rows, links = [], set()
+    for i in range(0, 100, 10):
+        one, other = text(32), text(32)
+        rows += [(i + k, " ".join(text(40) + one + text(3) + other + text(40))) for k in (1, 2)]
+        links.add((i + 2, i + 1))
+    assert {(r["doc_id"], r["other_id"]) for r in substring_dedup.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == links
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_windows_of_one_task_are_brute_force(monkeypatch, repeats):
+    """The windows of a crowded group: all that a search of all pairs connects; without repeats hardly a search finds nothing."""
+    rng = np.random.default_rng(10)
+    reach, n = substring_dedup.LEAST - 1, 120
+    base, parts = rng.integers(0, 2**32, 2 * reach + 1, np.uint32), []
+    for k in range(n):
+        x = base.copy()
+        for at in rng.integers(0, 2 * reach - 4, 2 if k % 3 else 4):
+            x[at : at + 5] = rng.integers(0, 2**32, 5, np.uint32)
+        if repeats:
+            x[rng.integers(0, reach - 9) :][:9] = rng.integers(0, 2**32, dtype=np.uint32)
+        x[reach] = base[reach]
+        parts.append(x)
+    parts += parts[:30]  # twins in other documents
+    searched = []
+    search = substring_dedup._passages
+    monkeypatch.setattr(substring_dedup, "_passages", lambda *a: searched.append(search(*a)) or searched[-1])
+    label = np.concatenate([np.arange(n), np.arange(30)])
+    doc, zero = np.arange(len(parts)) + 1, np.zeros(len(parts), np.int64)
+    found = substring_dedup._task_links(zero, label, doc, zero + reach, zero + reach, zero, parts)
+    empty, calls = sum(not x for x in searched), len(searched)
+    monkeypatch.setattr(substring_dedup, "_passages", search)
+    links = [(b + 1, a + 1) for a, b in itertools.combinations(range(n), 2) if substring_dedup.passages(parts[a], parts[b])]
+    twins = [(n + k + 1, k + 1) for k in range(30)]
+    assert len(links) >= 10 and not unconnected(links, [(r[0], r[3]) for r in found] + twins)
+    assert repeats or empty <= 0.1 * calls and calls < n  # before, pairs without a link were searched too
+
+
 def test_passages_beside_denser_edits():
     rng = np.random.default_rng(3)
     shingles = lambda w: np.lib.stride_tricks.sliding_window_view(np.array(w, np.uint64), 5) @ np.array([1, 10**3, 10**6, 10**9, 10**12], np.uint64)

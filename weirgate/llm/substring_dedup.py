@@ -57,7 +57,8 @@ CROWD = 64
 PERCENT = 80  # similarity of passages
 BLOCK = 300_000  # shingles around the windows of a task's block, about
 DENSE = 3 * LEAST // 4  # places of LEAST that have a common shingle, before a pair is searched
-SLACK = 1.03  # a passage can be denser than its densest stretch
+REACH = 2 * LEAST - 1  # places that stretches of LEAST over one centre reach
+MOST_SHARES = 1 + 100 / PERCENT + 1e-6  # of a / c + b / c, if c of a and b elements are common and the sets alike
 _SEEDS = [np.uint64(x) for x in mix(np.arange(1, HASHES + 1, dtype=np.uint64)).tolist()]
 
 
@@ -361,36 +362,150 @@ def _task_links(block, label, doc, first, last, start, parts: list[np.ndarray])
     if len(s) >= LEAST:
         inside = row[: len(s) - LEAST + 1] == row[LEAST - 1 :]
         np.maximum.at(most, row[: len(s) - LEAST + 1][inside], (hits[LEAST:] - hits[:-LEAST])[inside])
-    some = np.flatnonzero(most >= DENSE)
+    again = (ranked[1:] == ranked[:-1]) & (row[order[1:]] == row[order[:-1]])
+    before = np.full(len(s), -1)
+    before[order[1:][again]] = order[:-1][again] - at[row[order[:-1][again]]]
+    good = most >= DENSE
+    for k in np.unique(row[(hit == 0) & (before >= 0)]).tolist():  # places do not show how many different ones are missed
+        here = slice(at[k], at[k] + size[k])
+        good[k] = size[k] >= LEAST and _few_missed([hit[None, here] > 0], [before[None, here]])[0]
+    some = _unlike(np.flatnonzero(good), block, label, doc, first - start, last - start, parts)
+    if not len(some):
+        return []
     sides = np.concatenate([_sketch(s, at, size, some, (c - start)[some], step) for c, step in ((first, -1), (last, 1))])
     sides[:, (first != last)[some]] = ~np.uint64(0)  # which of several centres counts is open
     share, root, blocks, docs = LEAST / most[some], label[some].copy(), block[some], doc[some]
+    # shingles that several classes have, as numbers of one range, a row a window; 0 is any other
+    number = np.empty(len(s), np.int32)
+    number[order] = np.repeat(np.where(several, np.cumsum(several), 0), np.diff(np.append(begin, len(s))))
+    n_numbers, is_long = int(several.sum()) + 1, size[some] > REACH
+    plain = ~np.isin(some, row[before >= 0])
+    numbers, befores = np.zeros((len(some), REACH), np.int32), np.full((len(some), REACH), -1)
+    for k in np.flatnonzero(~is_long).tolist():
+        here = slice(at[some[k]], at[some[k]] + size[some[k]])
+        numbers[k, : size[some[k]]], befores[k, : size[some[k]]] = number[here], before[here]
     one_block, out = block.min() == block.max(), []
-    for x in range(0, len(some), 256):
-        a = slice(x, min(x + 256, len(some)))
-        b = slice(x, len(some))
+    tile = max(1, min(256, (1 << 24) // n_numbers))
+    for x, y in ((x, y) for x in range(0, len(some), tile) for y in range(x, len(some), tile)):
+        a, b = slice(x, x + tile), slice(y, y + tile)
         differ = (root[a, None] != root[None, b]) & (docs[a, None] != docs[None, b])
         if not one_block:
             differ &= blocks[a, None] != blocks[None, b]
+        if x == y:
+            differ = np.triu(differ)
         if not differ.any():
             continue
         same = [np.bitwise_count(side[a, None] & side[None, b]) for side in sides]
         (l1, l2, l3), (r1, r2, r3) = ((w[0], w[1] + w[2], w[3] + w[4]) for w in (same[:5], same[5:]))
         good = ((l3 >= ALIKE) | (l2 + r1 >= ALIKE) | (l1 + r2 >= ALIKE) | (r3 >= ALIKE)) & differ
-        good &= share[a, None] + share[None, b] <= 2.25 * SLACK
-        for i, row_good in enumerate(good, x):
-            todo = x + np.flatnonzero(row_good)
-            todo = todo[todo > i]
-            while len(todo := todo[root[todo] != root[i]]):
-                j, todo = int(todo[0]), todo[1:]
-                p, q = int(some[i]), int(some[j])
-                pair = _numbered(parts[p], parts[q])
-                over = False
-                for u, v, y, z in () if _hopeless(*pair) else _passages(*pair, PERCENT):
-                    out.append(_found((doc[p], start[p], u, v), (doc[q], start[q], y, z)))
-                    over |= bool(u <= first[p] - start[p] and last[p] - start[p] <= v and y <= first[q] - start[q] and last[q] - start[q] <= z)
-                if over:
-                    root[root == root[j]] = root[i]
+        i, j = np.nonzero(good)
+        fits = is_long[x + i] | is_long[y + j]
+        k, l = i[~fits], j[~fits]
+        fits[~fits] = _can_link(numbers[a], numbers[b], befores[a], befores[b], k, l, n_numbers, plain[x + k] & plain[y + l])
+        for k, l in zip((x + i[fits]).tolist(), (y + j[fits]).tolist(), strict=True):
+            if root[k] == root[l]:
+                continue
+            p, q = int(some[k]), int(some[l])
+            pair = _numbered(parts[p], parts[q])
+            over = False
+            for u, v, g, h in () if (is_long[k] or is_long[l]) and _hopeless(*pair) else _passages(*pair, PERCENT):
+                out.append(_found((doc[p], start[p], u, v), (doc[q], start[q], g, h)))
+                over |= bool(u <= first[p] - start[p] and last[p] - start[p] <= v and g <= first[q] - start[q] and last[q] - start[q] <= h)
+            if over:
+                root[root == root[l]] = root[k]
+    return out
+
+
+def _unlike(some: np.ndarray, block, label, doc, first, last, parts: list[np.ndarray]) -> np.ndarray:
+    """Some of the windows without those that have a twin: one of the same class, with the same shingles around the same
+    place. A link of one links the class of both. Two documents of each stay, as a document is not linked with itself."""
+    seen: dict[tuple, set] = {}
+    out = []
+    for k in some.tolist():
+        docs = seen.setdefault((block[k], label[k], first[k], last[k], parts[k].tobytes()), set())
+        if len(docs) < 2 and doc[k] not in docs:
+            docs.add(doc[k])
+            out.append(k)
+    return np.array(out, np.int64)
+
+
+def _least_share(hit: np.ndarray) -> np.ndarray:
+    """For each row of hits, the least of places / hits of its stretches of LEAST places or more.
+
+    Stretches of twice LEAST consist of two, one of which is as dense, so shorter ones are enough."""
+    sums = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
+    np.cumsum(hit, axis=1, out=sums[:, 1:])
+    best = np.full(len(hit), 1e-9)
+    for n in range(LEAST, min(2 * LEAST, sums.shape[1])):
+        np.maximum(best, (sums[:, n:] - sums[:, :-n]).max(axis=1) / n, out=best)
+    return 1 / best
+
+
+def _few_missed(hits, befores) -> np.ndarray:
+    """For each row of hits in two texts, whether some stretches of LEAST places miss few enough different shingles.
+
+    Of sets with c common elements that are 80 % alike, at most c / 4 elements are not common, and a longer stretch misses
+    no fewer than one within it. `befores` has the place of each shingle's occurrence before (-1: none); it counts in the
+    stretches that begin after that."""
+    missed = 0
+    for hit, before in zip(hits, befores, strict=True):
+        n = hit.shape[1]
+        row, place = np.nonzero(~hit)
+        begin = np.maximum(np.maximum(before[row, place] + 1, place - LEAST + 1), 0)
+        counts = np.bincount(row * (n + 1) + begin, minlength=len(hit) * (n + 1)) - np.bincount(row * (n + 1) + place + 1, minlength=len(hit) * (n + 1))
+        missed = missed + np.cumsum(counts.reshape(len(hit), n + 1), axis=1)[:, : n - LEAST + 1].min(axis=1)
+    return (100 - PERCENT) * (hits[0] & (befores[0] < 0)).sum(axis=1) >= PERCENT * missed
+
+
+def _repeats(hit: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each row whether a shingle that is no hit repeats, so that fewer are missed than places show."""
+    return (~hit & (before >= 0)).any(axis=1)
+
+
+def _can_link(one: np.ndarray, two: np.ndarray, one_before: np.ndarray, two_before: np.ndarray, i: np.ndarray, j: np.ndarray, n_numbers: int, plain: np.ndarray) -> np.ndarray:
+    """Whether the rows i of one and j of two can have a passage, pair by pair.
+
+    Of `plain` pairs, which repeat no shingle, the common ones in one order, the answer is exact; of others stretches that
+    are dense enough and miss few enough shingles may be a passage (see _hopeless)."""
+    places = []  # of each number in each row, from 1
+    for rows in (one, two):
+        table = np.zeros((len(rows), n_numbers), np.int8)
+        table[np.arange(len(rows))[:, None], rows] = np.arange(1, rows.shape[1] + 1, dtype=np.int8)
+        table[:, 0] = 0
+        places.append(table)
+    out = np.zeros(len(i), bool)
+    for lo in range(0, len(i), 4096):
+        todo = np.arange(lo, min(lo + 4096, len(i)))
+        for rows, before, r, table, t in ((two, two_before, j, places[0], i), (one, one_before, i, places[1], j)):
+            other = table[t[todo][:, None], rows[r[todo]]]
+            sums = np.cumsum(other > 0, axis=1, dtype=np.int16)
+            enough = np.maximum(sums[:, LEAST - 1], (sums[:, LEAST:] - sums[:, :-LEAST]).max(axis=1)) >= DENSE
+            enough |= _repeats(other > 0, before[r[todo]])
+            todo, other, sums = todo[enough], other[enough], sums[enough]
+        top = np.maximum.accumulate(other, axis=1)
+        exact = plain[todo] & ((other[:, 1:] > top[:, :-1]) | (other[:, 1:] == 0)).all(axis=1)
+        out[todo[exact]] = _has_passage(other[exact], sums[exact])
+        rest = todo[~exact]
+        hits = other[~exact] > 0, places[0][i[rest][:, None], two[j[rest]]] > 0
+        befores = one_before[i[rest]], two_before[j[rest]]
+        fits = _few_missed(hits, befores)
+        fits &= _repeats(hits[0], befores[0]) | _repeats(hits[1], befores[1]) | (_least_share(hits[0]) + _least_share(hits[1]) <= MOST_SHARES)
+        out[rest[fits]] = True
+    return out
+
+
+def _has_passage(other: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether stretches of LEAST places or more, from one common shingle to another, are alike in both texts; a row holds
+    the place in the other text of each shingle (0: none), ascending, and how many have one so far."""
+    hit, other = other > 0, other.astype(np.int16)
+    gain = (100 + PERCENT) * rank - PERCENT * (np.arange(other.shape[1], dtype=np.int16) + other)
+    # the least gain so far shows which ends have a begin, if any distance in the other text would do
+    least = np.minimum.accumulate(np.where(hit, gain, np.int16(2**14)), axis=1)
+    some = np.flatnonzero((hit[:, LEAST - 1 :] & (gain[:, LEAST - 1 :] - least[:, : 1 - LEAST] >= PERCENT - 100)).any(axis=1))
+    out, hit, other, gain = np.zeros(len(hit), bool), hit[some], other[some], gain[some]
+    for n in range(LEAST - 1, hit.shape[1]):
+        far = other[:, n:] - other[:, :-n] >= LEAST - 1
+        out[some] |= (hit[:, n:] & hit[:, :-n] & far & (gain[:, n:] - gain[:, :-n] >= PERCENT - 100)).any(axis=1)
     return out
 
 
@@ -652,16 +767,32 @@ def _found(one: tuple, other: tuple) -> list[int]:
 
 
 def _hopeless(a: np.ndarray, b: np.ndarray, size: int) -> bool:
-    """Whether even the stretches of LEAST places with most common shingles have too few of them.
+    """Whether even the densest stretches of LEAST places or more have too few common shingles.
 
     Sets of a and b elements, c of them common, are 80 % alike if a / c + b / c is 2.25 at most."""
     if min(len(a), len(b)) < LEAST:
         return True
+    hits = [h[None] for h in (_among(b, size)[a], _among(a, size)[b])]
+    befores = [_before(x)[None] for x in (a, b)]
+    if not _few_missed(hits, befores)[0]:
+        return True
+    if any(_repeats(h, x)[0] for h, x in zip(hits, befores, strict=True)):
+        return False
     most = []
-    for hit in (_among(b, size)[a], _among(a, size)[b]):
+    for hit in hits:
         n = np.concatenate([[0], np.cumsum(hit)])
         most.append(int((n[LEAST:] - n[:-LEAST]).max()))
-    return min(most) < DENSE or LEAST / most[0] + LEAST / most[1] > 2.25 * SLACK
+    if min(most) < DENSE:
+        return True
+    return LEAST / most[0] + LEAST / most[1] > MOST_SHARES and sum(float(_least_share(hit)[0]) for hit in hits) > MOST_SHARES
+
+
+def _before(numbers: np.ndarray) -> np.ndarray:
+    """The place before each at which its number occurs, or -1."""
+    order, out = np.argsort(numbers, kind="stable"), np.full(len(numbers), -1)
+    again = numbers[order[1:]] == numbers[order[:-1]]
+    out[order[1:][again]] = order[:-1][again]
+    return out
 
 
 def _around(shingles: bytes, first: int, lo: int, hi: int) -> tuple[np.ndarray, int]:
