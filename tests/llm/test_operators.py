@@ -608,6 +608,18 @@ def test_windows_of_one_task_are_brute_force(monkeypatch, repeats):
     assert repeats or empty <= 0.1 * calls and calls < n  # before, pairs without a link were searched too
 
 
+def test_windows_with_one_run_get_one_link_each():
+    """Windows over two runs of a shingle, between words of their own: before, each pair gave its links."""
+    rng = np.random.default_rng(11)
+    own = lambda n: rng.integers(1, 2**32, n, np.uint32)
+    run, n = np.zeros(substring_dedup.LEAST + 4, np.uint32), 40
+    parts = [np.concatenate([own(30), run, own(20), run, own(30)]) for _ in range(n)]
+    zero, doc = np.zeros(n, np.int64), np.arange(n) + 1
+    found = substring_dedup._task_links(zero, np.arange(n), doc, zero + 30, zero + 2 * len(run) + 49, zero, parts)
+    assert sorted((r[0], r[3]) for r in found) == [(i, 1) for i in range(2, n + 1)]
+    assert {(r[1], r[2]) for r in found} <= {(30, 30 + len(run) + 4), (50 + len(run), 50 + 2 * len(run) + 4)}
+
+
 def test_passages_beside_denser_edits():
     rng = np.random.default_rng(3)
     shingles = lambda w: np.lib.stride_tricks.sliding_window_view(np.array(w, np.uint64), 5) @ np.array([1, 10**3, 10**6, 10**9, 10**12], np.uint64)

@@ -369,9 +369,10 @@ def _task_links(block, label, doc, first, last, start, parts: list[np.ndarray])
     for k in np.unique(row[(hit == 0) & (before >= 0)]).tolist():  # places do not show how many different ones are missed
         here = slice(at[k], at[k] + size[k])
         good[k] = size[k] >= LEAST and _few_missed([hit[None, here] > 0], [before[None, here]])[0]
+    out, label = _run_links(s, row, at, label, doc, first, start)
     some = _unlike(np.flatnonzero(good), block, label, doc, first - start, last - start, parts)
     if not len(some):
-        return []
+        return out
     sides = np.concatenate([_sketch(s, at, size, some, (c - start)[some], step) for c, step in ((first, -1), (last, 1))])
     sides[:, (first != last)[some]] = ~np.uint64(0)  # which of several centres counts is open
     share, root, blocks, docs = LEAST / most[some], label[some].copy(), block[some], doc[some]
@@ -384,7 +385,7 @@ def _task_links(block, label, doc, first, last, start, parts: list[np.ndarray])
     for k in np.flatnonzero(~is_long).tolist():
         here = slice(at[some[k]], at[some[k]] + size[some[k]])
         numbers[k, : size[some[k]]], befores[k, : size[some[k]]] = number[here], before[here]
-    one_block, out = block.min() == block.max(), []
+    one_block = block.min() == block.max()
     tile = max(1, min(256, (1 << 24) // n_numbers))
     for x, y in ((x, y) for x in range(0, len(some), tile) for y in range(x, len(some), tile)):
         a, b = slice(x, x + tile), slice(y, y + tile)
@@ -416,6 +417,26 @@ def _task_links(block, label, doc, first, last, start, parts: list[np.ndarray])
     return out
 
 
+def _run_links(s, row, at, label, doc, first, start) -> tuple[list[list[int]], np.ndarray]:
+    """Links between windows whose centre's shingle stands LEAST times in a row or more, and the classes they leave.
+
+    Such a run alone is a passage, the same one in all these windows, so one link a class to the first of them is enough."""
+    begin = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (row[1:] != row[:-1])]))
+    size = np.diff(np.append(begin, len(s)))
+    begin, size = (c[size >= LEAST] for c in (begin, size))
+    same = s[begin] == s[at[row[begin]] + (first - start)[row[begin]]]
+    begin, size = begin[same], size[same]
+    begin, size = (c[np.argsort(doc[row[begin]], kind="stable")] for c in (begin, size))
+    out, joined = [], set()
+    for x, n in zip(begin.tolist(), size.tolist(), strict=True):
+        k, top = row[x], row[begin[0]]
+        if label[k] != label[top] and label[k] not in joined and doc[k] != doc[top]:
+            joined.add(label[k])
+            places = [(doc[w], start[w], y - at[w], y - at[w] + m - 1) for w, y, m in ((k, x, n), (top, int(begin[0]), int(size[0])))]
+            out.append(_found(*places))
+    return out, np.where(np.isin(label, list(joined)), label[row[begin[0]]], label) if joined else label
+
+
 def _unlike(some: np.ndarray, block, label, doc, first, last, parts: list[np.ndarray]) -> np.ndarray:
     """Some of the windows without those that have a twin: one of the same class, with the same shingles around the same
     place. A link of one links the class of both. Two documents of each stay, as a document is not linked with itself."""
@@ -772,16 +793,20 @@ def _hopeless(a: np.ndarray, b: np.ndarray, size: int) -> bool:
     Sets of a and b elements, c of them common, are 80 % alike if a / c + b / c is 2.25 at most."""
     if min(len(a), len(b)) < LEAST:
         return True
-    hits = [h[None] for h in (_among(b, size)[a], _among(a, size)[b])]
-    befores = [_before(x)[None] for x in (a, b)]
-    if not _few_missed(hits, befores)[0]:
-        return True
-    if any(_repeats(h, x)[0] for h, x in zip(hits, befores, strict=True)):
-        return False
+    use, mine = _among(a, size), _among(b, size)
+    hits = [mine[a][None], use[b][None]]
     most = []
     for hit in hits:
         n = np.concatenate([[0], np.cumsum(hit)])
         most.append(int((n[LEAST:] - n[:-LEAST]).max()))
+    if min(most) < LEAST and (100 - PERCENT) * np.count_nonzero(use & mine) < PERCENT:
+        return True  # none may be missed
+    if np.count_nonzero(use) < len(a) or np.count_nonzero(mine) < len(b):
+        befores = [_before(x)[None] for x in (a, b)]
+        if not _few_missed(hits, befores)[0]:
+            return True
+        if any(_repeats(h, x)[0] for h, x in zip(hits, befores, strict=True)):
+            return False
     if min(most) < DENSE:
         return True
     return LEAST / most[0] + LEAST / most[1] > MOST_SHARES and sum(float(_least_share(hit)[0]) for hit in hits) > MOST_SHARES
