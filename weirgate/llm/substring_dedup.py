@@ -19,7 +19,7 @@ share yields one value in both, under each hash with the probability of the pass
    with several, all pairs of windows of different classes are compared by sketches of the shingles around the centre: a
    stretch of LEAST over both centres holds three of six parts of PART places whole, in a row beside the centre, and at most
    6 of their shingles are not common.
-   The pairs with ALIKE bits in common there are searched, unless links
+   The pairs with ALIKE bits in common there, and whose common shingles can make a passage, are searched, unless links
    found before over both centres connect them. A group of more windows than a BLOCK is dealt to pairs of blocks, each
    pair one task, so none is dropped.
 
@@ -335,7 +335,8 @@ def _parted_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The links between windows of one task, of different classes and documents; rows come sorted by task.
 
     Of the stretches of LEAST places over a centre, the one with most shingles that other classes of the task have too
-    shows how many can be common; a window with fewer than DENSE has no link here (see _hopeless). The others are compared
+    shows how many can be common; a window with fewer than DENSE has no link here, unless it repeats shingles that are not
+    common (see _few_missed). The others are compared
     by sketches, and the pairs left are searched unless links found before over both centres connect them. Of a task of
     two blocks, the pairs across are compared."""
     for task, block, label, doc, first, last, start, shingles in _whole_keys(batches, 1):
