@@ -179,3 +179,14 @@ def test_degrees_and_majors(spark):
     a, b = resume.education(spark.createDataFrame(rows, "id string, pos int, line string"), "id").orderBy("row").collect()
     assert (a["degree"], a["major"], a["school"], a["graduation_year"]) == ("Master of Science", "Computer Science", "State University", "2017")
     assert (b["degree"], b["major"], b["in_progress"]) == ("B.S", "Art and Design", True)
+
+
+def test_the_fill_plan_broadcasts_no_table_that_grows(spark):
+    df = catalog.QUERIES["profile_override"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 900
+    built = df.select("*")
+    built.collect()
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("BroadcastHashJoin") == 1 and "n_regionkey" in final  # the 25 nations

@@ -64,10 +64,13 @@ def with_normalized(fields: DataFrame) -> DataFrame:
 
 
 def candidates(fields: DataFrame, threshold: float = V.THRESHOLD, vocabulary: Sequence[V.Canonical] = V.VOCABULARY) -> DataFrame:
-    """form_id, field_idx, grp, grp_index, canonical, confidence, multi of all pairings at the threshold or above."""
+    """form_id, field_idx, grp, grp_index, canonical, confidence, multi of all pairings at the threshold or above.
+
+    Scores cost far more than the rows are large, so controls are dealt out before; not by form, else the shuffle of
+    greedy() would go, and with it the reuse of the scores by all that reads its result."""
     grouped = F.coalesce(F.col("grp"), F.lit("")) != ""
     one = lambda c: F.when((grouped == F.lit(c.row_level)) & type_compatible(c.name, F.col("field_type"), F.col("kind")), F.struct(F.lit(c.name).alias("canonical"), field_score(c).alias("confidence"), F.lit(c.allow_multiple).alias("multi")))
-    scored = with_normalized(fields).select("form_id", "field_idx", F.when(grouped, F.col("grp")).otherwise("").alias("grp"), F.when(grouped, F.col("grp_index")).otherwise(-1).alias("grp_index"), F.explode(F.filter(F.array(*map(one, vocabulary)), lambda x: x["confidence"] >= threshold)).alias("c"))
+    scored = with_normalized(fields.repartition("form_id", "field_idx")).select("form_id", "field_idx", F.when(grouped, F.col("grp")).otherwise("").alias("grp"), F.when(grouped, F.col("grp_index")).otherwise(-1).alias("grp_index"), F.explode(F.filter(F.array(*map(one, vocabulary)), lambda x: x["confidence"] >= threshold)).alias("c"))
     return scored.select("form_id", "field_idx", "grp", "grp_index", "c.canonical", "c.confidence", "c.multi")
 
 
@@ -87,11 +90,13 @@ def signature() -> Column:
 
 
 def propagate_duplicates(controls: DataFrame, assigned: DataFrame, scope: Sequence[str], sign: str, idx: str, canonical: str, confidence: str, least: float = V.DUPLICATE_CONFIDENCE) -> DataFrame:
-    """Controls with no assignment take that of the first confident one with their signature; controls exclude file inputs. Adds `copied`."""
-    keyed = assigned.join(controls.select(*scope, idx, sign), [*scope, idx])
+    """Controls with no assignment take that of the first confident one with their signature; controls exclude file inputs. Adds `copied`.
+
+    Both sides of each join grow with the controls, and what was exploded or compresses well looks small to the planner: no broadcasts."""
+    keyed = assigned.join(controls.select(*scope, idx, sign).hint("merge"), [*scope, idx])
     firsts = keyed.where((F.col(confidence) >= least) & (F.col(sign) != "")).groupBy(*scope, sign).agg(F.min_by(F.struct(canonical, confidence), "rank").alias("w"))
-    left = controls.select(*scope, idx, sign).join(assigned.select(*scope, idx), [*scope, idx], "left_anti")
-    copied = left.join(firsts, [*scope, sign]).select(*scope, idx, F.col(f"w.{canonical}").alias(canonical), F.col(f"w.{confidence}").alias(confidence), F.lit(True).alias("copied"))
+    left = controls.select(*scope, idx, sign).join(assigned.select(*scope, idx).hint("merge"), [*scope, idx], "left_anti")
+    copied = left.join(firsts.hint("merge"), [*scope, sign]).select(*scope, idx, F.col(f"w.{canonical}").alias(canonical), F.col(f"w.{confidence}").alias(confidence), F.lit(True).alias("copied"))
     return assigned.select(*scope, idx, canonical, confidence, F.lit(False).alias("copied")).unionByName(copied)
 
 
@@ -102,11 +107,11 @@ def match_forms(fields: DataFrame, threshold: float = V.THRESHOLD) -> DataFrame:
     won = greedy(cands, scope)
     grouped = F.coalesce(F.col("grp"), F.lit("")) != ""
     controls = fields.select("form_id", F.when(grouped, F.col("grp")).otherwise("").alias("grp"), F.when(grouped, F.col("grp_index")).otherwise(-1).alias("grp_index"), F.col("field_idx").cast("long").alias("field_idx"), signature().alias("sign"), F.col("field_type").isin("file", "input/file").alias("is_file"))
-    files = won.join(controls.where("is_file").select(*scope, "field_idx"), [*scope, "field_idx"], "left_semi").select(*scope, "field_idx", "canonical", "confidence", F.lit(False).alias("copied"))
-    rest = won.join(controls.where("NOT is_file").select(*scope, "field_idx"), [*scope, "field_idx"], "left_semi")
+    files = won.join(controls.where("is_file").select(*scope, "field_idx").hint("merge"), [*scope, "field_idx"], "left_semi").select(*scope, "field_idx", "canonical", "confidence", F.lit(False).alias("copied"))
+    rest = won.join(controls.where("NOT is_file").select(*scope, "field_idx").hint("merge"), [*scope, "field_idx"], "left_semi")
     found = propagate_duplicates(controls.where("NOT is_file"), rest, scope, "sign", "field_idx", "canonical", "confidence").unionByName(files)
     review = F.col("canonical").isin([c.name for c in V.VOCABULARY if c.review_only])
-    joined = controls.join(found, [*scope, "field_idx"], "left")
+    joined = controls.join(found.hint("merge"), [*scope, "field_idx"], "left")
     return joined.select("form_id", "field_idx", "grp", "grp_index", F.coalesce("canonical", F.lit("")).alias("canonical"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.when(F.col("canonical").isNull(), "skipped_no_match").when(review, "skipped_by_policy").otherwise("skipped_no_value").alias("status"))
 
 

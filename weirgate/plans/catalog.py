@@ -165,7 +165,7 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(F.col("o_orderstatus") == "O", "Present").otherwise(F.date_format("o_orderdate", "yyyy"))
     job = F.struct("o_orderkey", F.col("o_orderpriority").alias("company"), F.col("o_orderstatus").alias("title"), F.lit("").alias("location"), F.lit("").alias("start_date"), end.alias("end_date"), F.lit("").alias("description"))
     jobs = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.transform(F.sort_array(F.collect_list(job)), lambda x: x.dropFields("o_orderkey")).alias("positions"))
-    rows = table(spark, sf_dir, "customer").join(jobs, "c_custkey", "left")
+    rows = table(spark, sf_dir, "customer").join(jobs.hint("merge"), "c_custkey", "left")
     blank = {c: F.lit("") for c in ("phone", "address_line1", "state", "postal_code", "country", "linkedin_url", "github_url", "portfolio_url")}
     study = "array<struct<school:string,degree:string,major:string,graduation_year:string,in_progress:boolean>>"
     return rows.select(

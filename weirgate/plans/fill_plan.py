@@ -62,16 +62,17 @@ def entry_values(resumes: DataFrame) -> DataFrame:
 def plan(fields: DataFrame, resumes: DataFrame, profile: DataFrame, threshold: float = V.THRESHOLD, resume_path: str = "") -> DataFrame:
     """form_id, field_idx, canonical, confidence, value, status, reason. fields carry resume_id; profile is resume_id, canonical, supplied.
 
-    Precedence: no match, the applicant's own answer, a policy, the resume's value, a blank that is the answer, a gap."""
-    matched = matching.match_forms(fields, threshold).join(fields.select("form_id", F.col("field_idx").cast("long").alias("field_idx"), "resume_id"), ["form_id", "field_idx"])
+    Precedence: no match, the applicant's own answer, a policy, the resume's value, a blank that is the answer, a gap.
+    Every table here grows with the applicants, so none is broadcast, however small the planner takes it to be."""
+    matched = matching.match_forms(fields, threshold).join(fields.select("form_id", F.col("field_idx").cast("long").alias("field_idx"), "resume_id").hint("merge"), ["form_id", "field_idx"])
     matched = matched.withColumn("source", group_source(F.col("grp")))
-    flat = matched.where("grp = ''").join(resume_values(resumes), ["resume_id", "canonical"], "left")
+    flat = matched.where("grp = ''").join(resume_values(resumes).hint("merge"), ["resume_id", "canonical"], "left")
     files = F.when(F.col("canonical") == "resume_file", F.lit(resume_path))
     flat = flat.withColumn("value", F.coalesce(F.col("value"), files, F.lit(""))).withColumn("rows", F.lit(0))
     counts = resumes.select("resume_id", F.size("positions").alias("rows"))
     entries = entry_values(resumes).withColumnRenamed("row", "grp_index")
-    rows = matched.where("grp != ''").join(entries, ["resume_id", "source", "grp_index", "canonical"], "left").join(counts, "resume_id", "left").withColumn("value", F.coalesce("value", F.lit(""))).withColumn("rows", F.coalesce("rows", F.lit(0)))
-    both = flat.unionByName(rows).join(profile, ["resume_id", "canonical"], "left")
+    rows = matched.where("grp != ''").join(entries.hint("merge"), ["resume_id", "source", "grp_index", "canonical"], "left").join(counts.hint("merge"), "resume_id", "left").withColumn("value", F.coalesce("value", F.lit(""))).withColumn("rows", F.coalesce("rows", F.lit(0)))
+    both = flat.unionByName(rows).join(profile.hint("merge"), ["resume_id", "canonical"], "left")
     own = F.coalesce(F.nullif("supplied", F.lit("")), F.lit(""))
     blank = (F.col("canonical") == "entry_currently_here") & (F.col("source") == "positions") & (F.col("grp_index") < F.col("rows"))
     none, policy = F.col("canonical") == "", F.col("status") == "skipped_by_policy"
