@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_PLAIN = np.arange(1, 257, dtype=np.uint64)  # what a byte counts in a word's hash
+_LOWER = _PLAIN.copy()
+_LOWER[65:91] += np.uint64(32)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CHUNK = 1 << 20  # bytes of texts that are read at once, about
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -89,7 +93,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.full(n, base, np.uint64), dtype=np.uint64)
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(texts: pa.Array, limit: int = _CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `limit` bytes; one long row is a run of its own. Null is empty."""
     arr = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
@@ -119,16 +123,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+@lru_cache(2)
+def _powers_to(base: int, n: int) -> np.ndarray:
+    return powers(np.uint64(base), n)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased if asked."""
+    """A 64-bit hash of each word, A-Z lower-cased if asked.
+
+    A running sum of byte times power of its place gives each word's part, which the inverse power of the word's place shifts
+    to its beginning."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    lengths = ends - starts
-    inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    at = inside - np.repeat(starts, lengths)
-    value = (_LOWER[data] if lower else data)[inside].astype(np.uint64) + np.uint64(1)
-    value *= powers(_BASE, int(lengths.max()))[at]
-    return mix(np.add.reduceat(value, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    n = len(data)
+    up, down = ((_powers_to if n <= _CHUNK else powers)(base, max(n, _CHUNK)) for base in (_BASE, _INVERSE))
+    sums = np.zeros(n + 1, np.uint64)
+    np.multiply((_LOWER if lower else _PLAIN)[data], up[:n], out=sums[1:])
+    np.cumsum(sums, out=sums)
+    value = sums[ends]
+    value -= sums[starts]
+    value *= down[starts]
+    value *= _BASE
+    value += (ends - starts).astype(np.uint64)
+    return mix(value)
 
 
 def _multipliers(k: int) -> list[np.uint64]:

@@ -55,6 +55,8 @@ PART, ALIKE = 11, 20  # places of a part of a sketch, bits that three parts in a
 GAPS = (2 * SHINGLE + 1, SHINGLE + 1, 1)  # steps between matching shingles that a passage may hold, widest first
 CROWD = 64
 PERCENT = 80  # similarity of passages
+BUCKETS, HELD = 1 << 13, 1 << 19  # packs of rows for a shuffle, and windows that are packed at once
+CACHED = 1 << 17  # bytes of texts read at once, so that their arrays stay in a core's cache
 BLOCK = 300_000  # shingles around the windows of a task's block, about
 DENSE = 3 * LEAST // 4  # places of LEAST that have a common shingle, before a pair is searched
 REACH = 2 * LEAST - 1  # places that stretches of LEAST over one centre reach
@@ -90,26 +92,59 @@ def compact_windows(s: np.ndarray, whole: np.ndarray, seed: np.uint64) -> tuple[
     return value[centre[first]], centre[first], first, last
 
 
-def _read(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of chunks of rows: first and end row, word hashes, shingles at every word, and each row's first word (one more at the end)."""
-    for lo, hi, data, offsets in text_chunks(texts):
+def _read(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of chunks of rows: first and end row, word hashes, and each row's first word (one more at the end)."""
+    for lo, hi, data, offsets in text_chunks(texts, CACHED):
         starts, ends, first = word_bounds(data, offsets)
-        words = word_hashes(data, starts, ends)
-        yield lo, hi, words, rolled_shingles(words, SHINGLE), first
+        yield lo, hi, word_hashes(data, starts, ends), first
 
 
 def _identity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest and the number of words of each text long enough to hold a passage."""
     for batch in batches:
         digest, n = [], []
-        for _, _, words, _, first in _read(batch.column(1)):
+        for _, _, words, first in _read(batch.column(1)):
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 digest.append(hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() if b - a >= WORDS else None)
                 n.append(b - a)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "digest", "n_words"])
 
 
-_WINDOW = ("value", "doc_id", "span")
+_WINDOW = np.dtype([("value", "<i8"), ("doc", "<i8"), ("span", "<i8")])
+_PAIR = np.dtype([("doc", "<i8"), ("other", "<i8"), ("span", "<i8"), ("other_span", "<i8"), ("hash", "u1")])
+
+
+def _packed(bucket: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows that come by bucket, those of a bucket as one row of bytes."""
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edges = (np.append(at, len(rows)) * rows.dtype.itemsize).astype(np.int32)
+    packs = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(rows.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), packs], ["bucket", "rows"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
+    """The rows of whole buckets; the batches come sorted by bucket."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        bucket, packs = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_binary())
+        edges = np.frombuffer(packs.buffers()[1], np.int64)[packs.offset : packs.offset + len(packs) + 1]
+        rows = np.frombuffer(packs.buffers()[2], np.uint8)[edges[0] : edges[-1]].view(kind)
+        new = np.flatnonzero(np.diff(bucket, prepend=bucket[0] if last is None else last))
+        if len(new):
+            cut = int(edges[new[-1]] - edges[0]) // kind.itemsize
+            yield np.concatenate([*held, rows[:cut]])
+            held, rows = [], rows[cut:]
+        held.append(rows.copy())
+        last = bucket[-1]
+    if held:
+        yield np.concatenate(held)
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    """The bucket of mixed keys."""
+    return (key >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.uint16)
 
 
 def _span(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -137,51 +172,72 @@ def _groups(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each batch."""
+    """The windows of each batch, packed by their value's bucket."""
+
+    def rows(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        value, doc, centre, before, after = map(np.concatenate, zip(*parts, strict=True))
+        key = mix(value)
+        order = np.argsort(key)
+        # equal values in order of their places: the sort need not be stable
+        run = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+        order = np.sort((run << 32) | order) & ((1 << 32) - 1)
+        value, doc, centre, before, after = value[order], doc[order], centre[order], before[order], after[order]
+        # windows of one value that touch in a document are one
+        new = np.ones(len(value), bool)
+        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(centre) > after[:-1] + before[1:] + 1)
+        at = np.flatnonzero(new)
+        out = np.empty(len(at), _WINDOW)
+        out["value"], out["doc"], out["span"] = value[at].view(np.int64), doc[at], _span(centre[at], np.maximum.reduceat(centre, at))
+        return _packed(_bucket(key[order[at]]), out)
+
+    parts, n_held = [], 0
     for batch in batches:
         ids = batch.column(0).fill_null(0).to_numpy()
         known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-        value, doc, centre, before, after = [], [], [], [], []
-        for lo, hi, _, s, start in _read(batch.column(1)):
+        for lo, hi, words, start in _read(batch.column(1)):
+            s = rolled_shingles(words, SHINGLE)
             row = np.repeat(np.arange(lo, hi), np.diff(start))  # of each word
             n = max(0, len(row) - WORDS + 1)
             whole = (row[:n] == row[WORDS - 1 :]) & known[row[:n]]
             for h in range(HASHES):
                 v, c, a, b = compact_windows(s, whole, _SEEDS[h])
-                value.append(((v & ~np.uint64(15)) | np.uint64(h)).view(np.int64))  # the low bits name the hash
-                doc.append(ids[row[a]])
-                centre.append(c - start[row[a] - lo])
-                before.append(c - a)
-                after.append(b - c)
-        if not value or not sum(map(len, value)):
-            continue
-        value, doc, centre, before, after = map(np.concatenate, (value, doc, centre, before, after))
-        order = np.argsort(value, kind="stable")
-        value, doc, centre, before, after = value[order], doc[order], centre[order], before[order], after[order]
-        # windows of one value that touch in a document are one
-        new = np.ones(len(value), bool)
-        new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(centre) > after[:-1] + before[1:] + 1)
-        at = np.flatnonzero(new)
-        cols = (value[at], doc[at], _span(centre[at], np.maximum.reduceat(centre, at)))
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), list(_WINDOW))
+                if len(v):  # the low bits name the hash
+                    parts.append([(v & ~np.uint64(15)) | np.uint64(h), ids[row[a]], c - start[row[a] - lo], c - a, b - c])
+                    n_held += len(v)
+            if n_held > HELD:
+                yield rows(parts)
+                parts, n_held = [], 0
+    if parts:
+        yield rows(parts)
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of windows, the larger document first, with the bit of their hash; the rows come sorted by value and document.
+    """Pairs of windows, the larger document first, with the bit of their hash, packed by their documents' bucket.
 
     A window of a crowded group also comes alone, with its own document as the other, and the value as the other span."""
-
-    def rows(d, e, p, q, bit) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, (d, e, p, q)), pa.array(bit.astype(np.int32))], ["doc_id", "other_id", "span", "other_span", "hash"])
-
-    for value, doc, span in _whole_keys(batches, 1):
-        for i, j in _chain(value, doc):
-            swap = doc[i] < doc[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            yield rows(doc[i], doc[j], span[i], span[j], 1 << (value[i] & 15))
+    for rows in _unpacked(batches, _WINDOW):
+        value = rows["value"]
+        by = np.argsort(value)
+        ranked = value[by]
+        same = ranked[1:] == ranked[:-1]
+        by = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # a window alone has no pair
+        if not len(by):
+            continue
+        rows = rows[by]
+        rows = rows[np.lexsort((rows["span"], rows["doc"], rows["value"]))]
+        value, doc, span = (np.ascontiguousarray(rows[c]) for c in _WINDOW.names)
+        ends = list(_chain(value, doc))
         alone = np.flatnonzero(_groups(value)[0] > CROWDED)
-        if len(alone):
-            yield rows(doc[alone], doc[alone], span[alone], value[alone], np.zeros(len(alone)))
+        i, j = (np.concatenate([*(e[k] for e in ends), alone]) for k in (0, 1))
+        if not len(i):
+            continue
+        i, j = np.where(doc[i] < doc[j], j, i), np.where(doc[i] < doc[j], i, j)
+        bucket = _bucket(mix(doc[i].view(np.uint64) ^ mix(doc[j].view(np.uint64))))
+        order = np.argsort(bucket, kind="stable")
+        out = np.empty(len(i), _PAIR)
+        out["doc"], out["other"], out["span"], out["other_span"], out["hash"] = doc[i], doc[j], span[i], span[j], 1 << (value[i] & 15)
+        out["other_span"][len(i) - len(alone) :], out["hash"][len(i) - len(alone) :] = value[alone], 0
+        yield _packed(bucket[order], out[order])
 
 
 def _whole_keys(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[np.ndarray]]:
@@ -217,7 +273,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     The windows of crowded groups go on as they are, with their value; that of an interval is null."""
     low = (1 << 32) - 1
     names = ["doc_id", "first", "last", "other_id", "other_first", "other_last", "value"]
-    for doc, other, span, other_span, bit in _whole_keys(batches, 2):
+    for rows in _unpacked(batches, _PAIR):
+        rows = rows[np.lexsort((rows["span"], rows["other"], rows["doc"]))]
+        doc, other, span, other_span, bit = (np.ascontiguousarray(rows[c]) for c in _PAIR.names)
         alone = doc == other
         if alone.any():
             d, p, v = doc[alone], span[alone], other_span[alone]
@@ -536,8 +594,8 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         wanted, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-        for lo, hi, _, s, start in _read(batch.column(1)):
-            short = (s >> np.uint64(32)).astype(np.uint32)
+        for lo, hi, words, start in _read(batch.column(1)):
+            short = (rolled_shingles(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
             for i in range(lo, hi):
                 for w in wanted[i]:
                     # a passage over a centre reaches less than LEAST places beyond it
@@ -844,12 +902,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _candidates(texts: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Intervals of two classes' documents that have windows of ENOUGH hashes in common, and the windows of crowded groups."""
-    windows = texts.mapInArrow(_windows, ", ".join(f"{c} long" for c in _WINDOW))
-    dealt = windows.repartition("value").sortWithinPartitions("value", "doc_id", "span")
-    pairs = dealt.mapInArrow(_paired, "doc_id long, other_id long, span long, other_span long, hash int")
-    order = ("doc_id", "other_id", "span")
-    joined = pairs.repartition("doc_id", "other_id").sortWithinPartitions(*order)
-    found = joined.mapInArrow(_joined, "doc_id long, first long, last long, other_id long, other_first long, other_last long, value long")
+    packed = "bucket int, rows binary"
+    windows = texts.mapInArrow(_windows, packed).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = windows.mapInArrow(_paired, packed).repartition("bucket").sortWithinPartitions("bucket")
+    found = pairs.mapInArrow(_joined, "doc_id long, first long, last long, other_id long, other_first long, other_last long, value long")
     found = materialize(found, "passage-intervals")
     # copies stand for their class, which has the same words at the same places
     for side in ("doc_id", "other_id"):
