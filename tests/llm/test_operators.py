@@ -620,6 +620,40 @@ def test_windows_with_one_run_get_one_link_each():
     assert {(r[1], r[2]) for r in found} <= {(30, 30 + len(run) + 4), (50 + len(run), 50 + 2 * len(run) + 4)}
 
 
+@pytest.mark.parametrize("matches", [1, 10**9])
+def test_best_links_are_brute_force(monkeypatch, matches):
+    """Matches of repeated lines: those of a place linked at once, or one by one, as a search of all earlier ones links them."""
+    monkeypatch.setattr(substring_dedup, "DENSE_MATCHES", matches)
+    rng = np.random.default_rng(12)
+    for n in (2, 7, 40):
+        a, b = (np.concatenate([np.arange(9)[rng.integers(0, 5) :] for _ in range(n)]) for _ in range(2))
+        p, q = substring_dedup._matches(a[:120], b[:120])
+        score, link = substring_dedup._best_links(p, q, 80)
+        want: list[tuple[int, int]] = []
+        for i in range(len(p)):
+            ends = [(want[k][0] + 80 * int(p[k] + q[k]), k) for k in range(i) if p[k] < p[i] and q[k] < q[i]]
+            top, k = max(ends, default=(0, -1))
+            want.append((180 + max(0, top - 80 * int(p[i] + q[i])), k))
+        assert list(zip(score.tolist(), link.tolist(), strict=True)) == want
+
+
+def test_least_share_is_brute_force(monkeypatch):
+    rng, least = np.random.default_rng(13), substring_dedup.LEAST
+    for at_once in (1, 1 << 19):
+        monkeypatch.setattr(substring_dedup, "AT_ONCE", at_once)
+        for width in (least - 1, least, least + 7, 2 * least - 1, 3 * least):
+            hit = rng.random((5, width)) < rng.random((5, 1))
+            best = [max((h[x:y].mean() for x in range(width) for y in range(x + least, width + 1)), default=0) for h in hit]
+            assert np.allclose(1 / substring_dedup._least_share(hit), np.maximum(best, 1e-9))
+
+
+def test_shingles_around_windows_are_cut_once(spark):
+    """Before, the surroundings of all windows were cut and sent twice, for frequent values and for others."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 70))) for i in range(3)], "doc_id long, text string")
+    plan = substring_dedup.shared_passages(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_surroundings(") == 1
+
+
 def test_passages_beside_denser_edits():
     rng = np.random.default_rng(3)
     shingles = lambda w: np.lib.stride_tricks.sliding_window_view(np.array(w, np.uint64), 5) @ np.array([1, 10**3, 10**6, 10**9, 10**12], np.uint64)

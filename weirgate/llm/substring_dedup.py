@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +55,14 @@ NEAREST = 2  # windows before it that a window of a larger group is paired with
 PART, ALIKE = 11, 20  # places of a part of a sketch, bits that three parts in a row have in common at least
 GAPS = (2 * SHINGLE + 1, SHINGLE + 1, 1)  # steps between matching shingles that a passage may hold, widest first
 CROWD = 64
+DENSE_MATCHES, DENSE_PLACES = 4, 1 << 14  # matches a place, from which those of a place are linked at once, in a text of so many places twice as many
 PERCENT = 80  # similarity of passages
 BUCKETS, HELD = 1 << 13, 1 << 19  # packs of rows for a shuffle, and windows that are packed at once
 CACHED = 1 << 17  # bytes of texts read at once, so that their arrays stay in a core's cache
 BLOCK = 300_000  # shingles around the windows of a task's block, about
 DENSE = 3 * LEAST // 4  # places of LEAST that have a common shingle, before a pair is searched
 REACH = 2 * LEAST - 1  # places that stretches of LEAST over one centre reach
+AT_ONCE = 1 << 19  # pairs of places that are compared at once
 MOST_SHARES = 1 + 100 / PERCENT + 1e-6  # of a / c + b / c, if c of a and b elements are common and the sets alike
 _SEEDS = [np.uint64(x) for x in mix(np.arange(1, HASHES + 1, dtype=np.uint64)).tolist()]
 
@@ -373,19 +376,23 @@ def _sketch(shingles: np.ndarray, begin: np.ndarray, size: np.ndarray, rows: np.
     return np.stack([np.where(repeats, ~np.uint64(0), w) for w in words])
 
 
-_AROUND = ("value", "class", "doc_id", "node", "first", "last")
+_AROUND = ("value", "class", "doc_id", "node", "first", "last", "blocks")
+
+
+def _structs(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each struct of a column of lists, and the structs' fields."""
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), n), [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of each region of a parted group, with the shingles that stretches of LEAST places over them reach."""
     for batch in batches:
-        rows = []
-        for node, doc, start, shingles, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for w in windows:
-                lo = max(0, w["own_first"] - LEAST + 1 - start)
-                rows.append((w["value"], w["class"], doc, node, w["own_first"], w["own_last"], start + lo, shingles[4 * lo : 4 * (w["own_last"] + LEAST - start)]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
-        arrays = [*(pa.array(c, pa.int64()) for c in cols[:-1]), pa.array(cols[-1], pa.binary())]
+        node, doc, start = (c.to_numpy() for c in batch.columns[:3])
+        row, (value, label, first, last, blocks) = _structs(batch.column(4))
+        shingles, lo = batch.column(3).to_pylist(), np.maximum(0, first - LEAST + 1 - start[row])
+        parts = [shingles[r][4 * u : 4 * v] for r, u, v in zip(row.tolist(), lo.tolist(), (last + LEAST - start[row]).tolist(), strict=True)]
+        arrays = [*map(pa.array, (value, label, doc[row], node[row], first, last, blocks, start[row] + lo)), pa.array(parts, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, [*_AROUND, "start", "shingles"])
 
 
@@ -513,11 +520,18 @@ def _least_share(hit: np.ndarray) -> np.ndarray:
     """For each row of hits, the least of places / hits of its stretches of LEAST places or more.
 
     Stretches of twice LEAST consist of two, one of which is as dense, so shorter ones are enough."""
-    sums = np.zeros((len(hit), hit.shape[1] + 1), np.int32)
-    np.cumsum(hit, axis=1, out=sums[:, 1:])
-    best = np.full(len(hit), 1e-9)
-    for n in range(LEAST, min(2 * LEAST, sums.shape[1])):
-        np.maximum(best, (sums[:, n:] - sums[:, :-n]).max(axis=1) / n, out=best)
+    best, width = np.full(len(hit), 1e-9), hit.shape[1]
+    if width >= LEAST:
+        n = np.arange(LEAST, 2 * LEAST)
+        step = max(1, AT_ONCE // (LEAST * width))
+        for lo in range(0, len(hit), step):
+            part = hit[lo : lo + step]
+            # beyond the end nothing is hit, so a stretch that reaches there is no denser than the last one within
+            sums = np.zeros((len(part), width + LEAST), np.int32)
+            np.cumsum(part, axis=1, out=sums[:, 1 : width + 1])
+            sums[:, width + 1 :] = sums[:, width : width + 1]
+            ends = np.lib.stride_tricks.sliding_window_view(sums[:, LEAST:], LEAST, axis=1)
+            best[lo : lo + step] = np.maximum(best[lo : lo + step], ((ends - sums[:, : ends.shape[1], None]) / n).max(axis=(1, 2)))
     return 1 / best
 
 
@@ -568,9 +582,11 @@ def _can_link(one: np.ndarray, two: np.ndarray, one_before: np.ndarray, two_befo
         rest = todo[~exact]
         hits = other[~exact] > 0, places[0][i[rest][:, None], two[j[rest]]] > 0
         befores = one_before[i[rest]], two_before[j[rest]]
-        fits = _few_missed(hits, befores)
-        fits &= _repeats(hits[0], befores[0]) | _repeats(hits[1], befores[1]) | (_least_share(hits[0]) + _least_share(hits[1]) <= MOST_SHARES)
-        out[rest[fits]] = True
+        fits = np.flatnonzero(_few_missed(hits, befores))
+        dense = _repeats(hits[0][fits], befores[0][fits]) | _repeats(hits[1][fits], befores[1][fits])
+        open_ = fits[~dense]
+        dense[~dense] = _least_share(hits[0][open_]) + _least_share(hits[1][open_]) <= MOST_SHARES
+        out[rest[fits[dense]]] = True
     return out
 
 
@@ -582,29 +598,39 @@ def _has_passage(other: np.ndarray, rank: np.ndarray) -> np.ndarray:
     # the least gain so far shows which ends have a begin, if any distance in the other text would do
     least = np.minimum.accumulate(np.where(hit, gain, np.int16(2**14)), axis=1)
     some = np.flatnonzero((hit[:, LEAST - 1 :] & (gain[:, LEAST - 1 :] - least[:, : 1 - LEAST] >= PERCENT - 100)).any(axis=1))
-    out, hit, other, gain = np.zeros(len(hit), bool), hit[some], other[some], gain[some]
-    for n in range(LEAST - 1, hit.shape[1]):
-        far = other[:, n:] - other[:, :-n] >= LEAST - 1
-        out[some] |= (hit[:, n:] & hit[:, :-n] & far & (gain[:, n:] - gain[:, :-n] >= PERCENT - 100)).any(axis=1)
+    out, n_begins = np.zeros(len(hit), bool), hit.shape[1] - LEAST + 1
+    apart = np.arange(n_begins) >= np.arange(n_begins)[:, None]  # a row a begin, from which ends are LEAST places away
+    step = max(1, AT_ONCE // n_begins**2)
+    for at in (some[lo : lo + step] for lo in range(0, len(some), step)):
+        begin = np.where(hit[at], gain[at], np.int16(2**14))[:, :n_begins, None]
+        end = np.where(hit[at], gain[at], np.int16(-(2**14)))[:, None, LEAST - 1 :]
+        fits = (end - begin >= PERCENT - 100) & apart
+        fits &= other[at][:, None, LEAST - 1 :] - other[at][:, :n_begins, None] >= LEAST - 1
+        out[at] = fits.any(axis=(1, 2))
     return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the regions out of each document, as 32-bit shingles, with where they begin."""
     for batch in batches:
-        rows: list[tuple] = []
-        wanted, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
+        node, ids, begin, parts = [], [], [], []
+        docs, (of, (nodes, firsts, lasts)) = batch.column(0).to_pylist(), _structs(batch.column(2))
+        edges = np.searchsorted(of, np.arange(len(batch) + 1)).tolist()
+        nodes, firsts, lasts = nodes.tolist(), firsts.tolist(), lasts.tolist()
         for lo, hi, words, start in _read(batch.column(1)):
             short = (rolled_shingles(words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+            start = start.tolist()
             for i in range(lo, hi):
-                for w in wanted[i]:
+                for k in range(edges[i], edges[i + 1]):
                     # a passage over a centre reaches less than LEAST places beyond it
-                    first = max(0, w["first"] - LEAST + 1)
-                    last = min(w["last"] + LEAST - 1, start[i - lo + 1] - start[i - lo] - SHINGLE)
-                    rows.append((w["node"], ids[i], first, short[start[i - lo] + first : start[i - lo] + last + 1].tobytes()))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
+                    first = max(0, firsts[k] - LEAST + 1)
+                    last = min(lasts[k] + LEAST - 1, start[i - lo + 1] - start[i - lo] - SHINGLE)
+                    node.append(nodes[k])
+                    ids.append(docs[i])
+                    begin.append(first)
+                    parts.append(short[start[i - lo] + first : start[i - lo] + last + 1].tobytes())
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+        arrays = [pa.array(c, t) for c, t in zip((node, ids, begin, parts), types, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, ["node", "doc_id", "first", "shingles"])
 
 
@@ -646,17 +672,17 @@ def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, q
 
 
-def _chains(p: np.ndarray, q: np.ndarray, percent: int, free: np.ndarray) -> Iterator[np.ndarray]:
-    """Numbers of matches that follow each other in both texts: each match continues the one before it that loses least by the places between.
+def _best_links(p: np.ndarray, q: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The score of the best chain that ends with each match, and the match before it there (-1: none).
 
-    A chain in whose reach no place of the first text is free when its turn comes is left out."""
-    if len(p) < 2 or np.all(np.diff(p) > 0) and np.all(np.diff(q) > 0):
-        yield np.arange(len(p))
-        return
+    Where places of the first text have many matches, those of one place are taken at once."""
+    begin = np.flatnonzero(np.diff(p, prepend=-1))
+    if len(p) >= DENSE_MATCHES * len(begin) * (1 + int(q.max()) / DENSE_PLACES):
+        return _dense_links(p, q, percent, begin)
     # ends of chains that no end at an earlier place in b is as good as: ascending places, ascending scores
     places: list[int] = []
     tops: list[tuple[int, int]] = []
-    score, link, root = [0] * len(p), [-1] * len(p), list(range(len(p)))
+    score, link = [0] * len(p), [-1] * len(p)
     step = 100 + percent
     for i, (at, here) in enumerate(zip(q.tolist(), (percent * (p + q)).tolist(), strict=True)):
         k = bisect_left(places, at)
@@ -664,7 +690,6 @@ def _chains(p: np.ndarray, q: np.ndarray, percent: int, free: np.ndarray) -> Ite
         if k:
             # matches of one place in a come backwards in b, so the one before is at an earlier place of both
             best, link[i] = tops[k - 1]
-            root[i] = root[link[i]]
             if best > here:
                 gain += best - here
         score[i] = gain
@@ -677,22 +702,58 @@ def _chains(p: np.ndarray, q: np.ndarray, percent: int, free: np.ndarray) -> Ite
         if j == k and k < len(places) and places[k] == at:
             continue
         places[k:j], tops[k:j] = [at], [entry]
+    return np.array(score), np.array(link)
+
+
+def _dense_links(p: np.ndarray, q: np.ndarray, percent: int, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_best_links, with the best end of a chain before each place of the second text in an array; begin is where places of
+    the first text begin. An end is its score and what its places cost, then its number, in one integer."""
+    places, at = np.unique(q, return_inverse=True)
+    score, look = np.empty(len(p), np.int64), np.empty(len(p), np.int64)
+    cost, number, bits = percent * (p + q).astype(np.int64), np.arange(len(p)), int(len(p)).bit_length()
+    entry, after = (cost + 100 + percent << bits) | number, at + 1
+    best = np.full(len(places) + 1, -1, np.int64)
+    edges = np.append(begin, len(p)).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        here = best[at[lo:hi]]
+        look[lo:hi] = here
+        # a chain that loses more by the places between than it has does not add to the match's own gain
+        gain = np.maximum((here >> bits) - cost[lo:hi], 0)
+        score[lo:hi] = gain
+        to = after[lo:hi]
+        best[to] = np.maximum(best[to], entry[lo:hi] + (gain << bits))
+        first = to[-1]  # the matches of a place come backwards
+        np.maximum.accumulate(best[first:], out=best[first:])
+    return score + 100 + percent, np.where(look < 0, -1, look & ((1 << bits) - 1))
+
+
+def _chains(p: np.ndarray, q: np.ndarray, percent: int, free: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of matches that follow each other in both texts: each match continues the one before it that loses least by the places between.
+
+    A chain in whose reach no place of the first text is free when its turn comes is left out."""
+    if len(p) < 2 or np.all(np.diff(p) > 0) and np.all(np.diff(q) > 0):
+        yield np.arange(len(p))
+        return
+    score, link = _best_links(p, q, percent)
     # from every end back to a match that another chain has, and as far into that chain as a shortest stretch over the joint can reach
     reach = 4 * LEAST
-    back = np.array([*link, len(p)])
+    back = np.append(link, len(p))
     back[back < 0] = len(p)  # before a chain's first match
+    root = np.where(link < 0, np.arange(len(p)), link)
+    while ((up := root[root]) != root).any():
+        root = up
     steps, furthest, jump = reach - 1, np.arange(len(p) + 1), back
     while steps:
         if steps & 1:
             furthest = jump[furthest]
         steps >>= 1
         jump = jump[jump]
-    furthest = np.where(furthest < len(p), furthest, np.array([*root, len(p)]))
+    furthest = np.where(furthest < len(p), furthest, np.append(root, len(p)))
     inner = np.zeros(len(p) + 1, bool)
     inner[back] = True
-    seen = np.zeros(len(p), bool).tolist()
+    seen, link = np.zeros(len(p), bool).tolist(), link.tolist()
     ends = np.flatnonzero(~inner[:-1])
-    for end in ends[np.argsort(-np.array(score)[ends], kind="stable")].tolist():
+    for end in ends[np.argsort(-score[ends], kind="stable")].tolist():
         chain, last = [], end
         while end >= 0 and not seen[end]:
             seen[end] = True
@@ -957,13 +1018,15 @@ def _unresolved(crowded: DataFrame, links: DataFrame, texts: DataFrame) -> DataF
     placed = placed.mapInArrow(_parted_regions, "doc_id long, first long, last long, value long, class long, own_first long, own_last long")
     placed = materialize(placed.withColumn("node", F.xxhash64("doc_id", "first")), "passage-parted")
     slices = _cut(texts, placed.select("node", "doc_id", "first", "last").distinct(), "passage-parted-slices")
-    windows = placed.groupBy("node").agg(F.collect_list(F.struct("value", "class", "own_first", "own_last")).alias("windows"))
-    around = slices.join(windows, "node").select("node", "doc_id", "first", "shingles", "windows").mapInArrow(_surroundings, ", ".join(f"{c} long" for c in (*_AROUND, "start")) + ", shingles binary")
+    # the sizes of groups are joined to windows before these carry their shingles
     sizes = placed.groupBy("value").agg(F.count("*").alias("rows"))
-    blocks = F.ceil(F.col("rows") * F.lit(2 * LEAST - 1) / F.lit(BLOCK)).cast("int")
-    dealt = join_counted(around, sizes, "value", "rows", placed.count()).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "first"), "blocks").cast("long"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("value", F.least("block", b.cast("long")), F.greatest("block", b.cast("long"))))
-    tasks = dealt.select(F.explode(meets).alias("task"), "block", "class", "doc_id", *_AROUND[4:], "start", "shingles").repartition("task").sortWithinPartitions("task", "block", "doc_id")
+    blocks = F.ceil(F.col("rows") * F.lit(2 * LEAST - 1) / F.lit(BLOCK)).cast("long").alias("blocks")
+    windows = join_counted(placed.select("node", "value", "class", "own_first", "own_last"), sizes, "value", "rows", placed.count())
+    windows = windows.groupBy("node").agg(F.collect_list(F.struct("value", "class", "own_first", "own_last", blocks)).alias("windows"))
+    around = slices.join(windows, "node").select("node", "doc_id", "first", "shingles", "windows").mapInArrow(_surroundings, ", ".join(f"{c} long" for c in (*_AROUND, "start")) + ", shingles binary")
+    dealt = around.withColumn("block", F.pmod(F.xxhash64("node", "first"), "blocks"))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: F.xxhash64("value", F.least("block", b), F.greatest("block", b)))
+    tasks = dealt.select(F.explode(meets).alias("task"), "block", "class", "doc_id", "first", "last", "start", "shingles").repartition("task").sortWithinPartitions("task", "block", "doc_id")
     return tasks.mapInArrow(_parted_links, ", ".join(f"{c} long" for c in _FOUND))
 
 
