@@ -531,7 +531,9 @@ def _least_share(hit: np.ndarray) -> np.ndarray:
             np.cumsum(part, axis=1, out=sums[:, 1 : width + 1])
             sums[:, width + 1 :] = sums[:, width : width + 1]
             ends = np.lib.stride_tricks.sliding_window_view(sums[:, LEAST:], LEAST, axis=1)
-            best[lo : lo + step] = np.maximum(best[lo : lo + step], ((ends - sums[:, : ends.shape[1], None]) / n).max(axis=(1, 2)))
+            for at in range(0, ends.shape[1], many := max(1, AT_ONCE // LEAST)):  # a long text in parts
+                share = ((ends[:, at : at + many] - sums[:, : ends.shape[1], None][:, at : at + many]) / n).max(axis=(1, 2))
+                best[lo : lo + step] = np.maximum(best[lo : lo + step], share)
     return 1 / best
 
 
